@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.llm import neardup
+from rosterlake.llm import incremental, neardup
 from rosterlake.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, record_no) of pending records that repeat an older record."""
+    return incremental.refused(table(spark, d, "candidates"), table(spark, d, "import_requests"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(id_a, id_b) of candidates whose records repeat each other."""
     return neardup.similar_pairs(table(spark, d, "candidates"), "id", "source")
 
 
-QUERIES = {f.__name__: f for f in (p7_found,)}
+QUERIES = {f.__name__: f for f in (p5_found, p7_found)}
 SQL: dict[str, str] = {}
