@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.llm import incremental, neardup
+from rosterlake.llm import incremental, leaks, neardup, tokens
 from rosterlake.session import table
 
 
@@ -18,5 +18,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "candidates"), "id", "source")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ids): every document by byte_bpe_50k."""
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id) of documents and the evaluation items that leaked into them."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p7_found, p8_ids, p9_found)}
 SQL: dict[str, str] = {}
