@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.llm import incremental, leaks, neardup, tokens
+from rosterlake.llm import incremental, langid, leaks, neardup, tokens
 from rosterlake.session import table
 
 
@@ -28,5 +28,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, lang) of documents without a right label or in several languages."""
+    return langid.mislabelled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p7_found, p8_ids, p9_found, p10_found)}
 SQL: dict[str, str] = {}
