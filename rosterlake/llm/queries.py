@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.llm import incremental, langid, leaks, neardup, tokens
+from rosterlake.llm import incremental, langid, leaks, names, neardup, tokens
 from rosterlake.session import table
 
 
@@ -13,6 +13,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.refused(table(spark, d, "candidates"), table(spark, d, "import_requests"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(name_a, name_b): different values of candidates.name for one person or agency."""
+    return names.variants(table(spark, d, "candidates"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(id_a, id_b) of candidates whose records repeat each other."""
     return neardup.similar_pairs(table(spark, d, "candidates"), "id", "source")
@@ -33,5 +38,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 SQL: dict[str, str] = {}
