@@ -63,11 +63,10 @@ class Hasher:
         return got
 
 
-def word_tokens(record, hasher: Hasher) -> np.ndarray:
+def tokens_of(found: list[str], hasher: Hasher) -> np.ndarray:
     """A hash for each occurrence: the n-th of a word has its own, so sets compare as bags."""
-    counts = Counter(WORD.findall("\n".join(strings(record)).lower()))
     out = []
-    for word, n in counts.items():
+    for word, n in Counter(found).items():
         h = hasher(word)
         out.append(h)
         for k in range(1, n):
@@ -75,6 +74,11 @@ def word_tokens(record, hasher: Hasher) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def word_tokens(record, hasher: Hasher) -> np.ndarray:
+    """The tokens of all words of a record."""
+    return tokens_of(WORD.findall("\n".join(strings(record)).lower()), hasher)
+
+
 def content_hash(tokens: np.ndarray) -> int:
     """A signed 64-bit hash of the bag, the same in any order."""
     with np.errstate(over="ignore"):
@@ -84,14 +88,7 @@ def content_hash(tokens: np.ndarray) -> int:
     return total - (1 << 64) if total >> 63 else total
 
 
-def paragraphs(record) -> Iterator[tuple[str, int]]:
-    """(normalised text, number of words) of each paragraph: a string value, long ones by sentence."""
-    for text in strings(record):
-        for piece in _PIECE.split(text):
-            found = WORD.findall(piece.lower())
-            if found:
-                yield " ".join(found), len(found)
-
-
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def paragraphs(record) -> list[list[str]]:
+    """The words of each paragraph: a string value, long ones by sentence."""
+    pieces = (piece for text in strings(record) for piece in (_PIECE.split(text) if len(text) > 40 else (text,)))
+    return [found for piece in pieces if (found := WORD.findall(piece.lower()))]
