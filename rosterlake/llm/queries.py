@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterlake.llm import incremental, langid, leaks, names, neardup, tokens
+from rosterlake.llm import incremental, langid, leaks, names, neardup, tokens, truncation
 from rosterlake.session import table
 
 
+_CUT_COLUMNS = ["headline", "rationale"]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id, field_name) of candidates with a value that lost its end."""
+    cut = truncation.cut_values(table(spark, d, "candidates"), "id", _CUT_COLUMNS)
+    return cut.filter("is_cut").select("id", "field_name").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """(feed, field_name, n_values, n_cut, share): how often each feed's values are cut."""
+    candidates = table(spark, d, "candidates")
+    cut = truncation.cut_values(candidates, "id", _CUT_COLUMNS).groupBy("id", "field_name").agg(F.max("is_cut").alias("is_cut"))
+    feeds = candidates.select("id", "feed").distinct()
+    return cut.join(feeds, "id").groupBy("feed", "field_name").agg(
+        F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"), F.round(F.count_if("is_cut") / F.count("*"), 6).alias("share")
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """(request_id, record_no) of pending records that repeat an older record."""
     return incremental.refused(table(spark, d, "candidates"), table(spark, d, "import_requests"))
@@ -38,5 +58,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 SQL: dict[str, str] = {}
