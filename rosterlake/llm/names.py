@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def _names(part: str) -> list[str]:
     return [w for w in _tokens(part) if w not in TITLES and w not in SUFFIXES]
 
 
-_ENTITY = "name string, entity string, kind string, a string, b string, initial string"
+_ENTITY = "name string, entity bigint, kind string, a string, b string, initial string"
 
 
 def entities(names: DataFrame, column: str) -> DataFrame:
@@ -141,7 +142,9 @@ def entities(names: DataFrame, column: str) -> DataFrame:
                 else:
                     rows.append((name, f"single {full[0]}", "single", full[0], None, None))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["name", "entity", "kind", "a", "b", "initial"])
+            kinds = (pa.string(), pa.int64(), *[pa.string()] * 4)
+            cols[1] = [_hash(e) for e in cols[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["name", "entity", "kind", "a", "b", "initial"])
 
     distinct = names.select(F.col(column).alias("name")).filter(F.col("name").isNotNull() & (F.trim("name") != "")).distinct()
     return distinct.mapInArrow(run, _ENTITY)
@@ -152,40 +155,46 @@ def _shorter(token: str) -> list[str]:
     return [token, *{token[:i] + token[i + 1 :] for i in range(len(token))}]
 
 
-_FORM = "form string, way string, entity string, other string, token string"
+_FORM = "form bigint, way string, entity bigint, token string"
+
+
+def _hash(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def forms(found: DataFrame) -> DataFrame:
-    """Every canonical rewriting of the entities of people and agencies: (form, way, entity, other, token).
+    """Every canonical rewriting of the entities of people and agencies: (form, way, entity, token).
 
-    ``way`` is nick, typo or initial; ``token`` is the token that was rewritten
-    and ``other`` the one that stayed.
+    A form is the hash of the token that stayed and of what became of the other
+    one, ``token``. ``way`` is plain (as written), nick, typo, initial or slip (a
+    typo beside an initial).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for entity, kind, a, b, initial in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if kind == "person":
-                    for token, other in ((a, b), (b, a)):
-                        for full in (token, *_NICK.get(token, ())):
-                            out.append((f"{other}|{full}", "nick", entity, other, token))
-                        if len(token) >= 4:
-                            short = _shorter(token)
-                            for known in (other, *_NICK.get(other, ())):
-                                out.extend((f"{known}|{s}", "typo", entity, other, token) for s in short)
-                            for i in {other[0], *(n[0] for n in _NICK.get(other, ()))}:
-                                out.extend((f"{i}|{s}", "initial typo", entity, other, token) for s in short)
-                        for i in {token[0], *(n[0] for n in _NICK.get(token, ()))}:
-                            out.append((f"{other}|{i}", "initial", entity, other, token))
-                elif kind == "initial":
-                    out.append((f"{a}|{initial}", "initial", entity, a, initial))
-                    if len(a) >= 5:
-                        out.extend((f"{initial}|{s}", "initial typo", entity, initial, a) for s in _shorter(a))
-                elif kind == "agency":
-                    out.extend((f"{b}|{s}", "typo", entity, b, a) for s in _shorter(a))
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["form", "way", "entity", "other", "token"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                out = []
+                for entity, kind, a, b, initial in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    if kind == "person":
+                        for token, other in ((a, b), (b, a)):
+                            out.append((_hash(f"{other}|{token}"), "plain", entity, token))
+                            out.extend((_hash(f"{other}|{full}"), "nick", entity, token) for full in _NICK.get(token, ()))
+                            if len(token) >= 4:
+                                short, meant = _shorter(token), (other, *_NICK.get(other, ()))
+                                out.extend((_hash(f"{m}|{s}"), "typo", entity, token) for m in meant for s in short)
+                                out.extend((_hash(f"{i}|{s}"), "slip", entity, token) for i in {m[0] for m in meant} for s in short)
+                            out.extend((_hash(f"{other}|{i}"), "initial", entity, token) for i in {token[0], *(n[0] for n in _NICK.get(token, ()))})
+                    elif kind == "initial":
+                        out.append((_hash(f"{a}|{initial}"), "initial", entity, a))
+                        if len(a) >= 5:
+                            out.extend((_hash(f"{initial}|{s}"), "slip", entity, a) for s in _shorter(a))
+                    elif kind == "agency":
+                        out.extend((_hash(f"{b}|{s}"), "typo", entity, a) for s in _shorter(a))
+                cols = list(zip(*out, strict=True)) if out else [[] for _ in range(4)]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["form", "way", "entity", "token"])
 
     one = found.select("entity", "kind", "a", "b", "initial").distinct()
     return one.mapInArrow(run, _FORM)
@@ -210,9 +219,8 @@ def variants(df: DataFrame, column: str = "name") -> DataFrame:
     often = held.groupBy("token").agg(F.count("*").alias("n"))
 
     # a nickname with one family name is a link if just one of the names it stands for exists with it
-    nick = rewritten.filter("way = 'nick'")
-    plain = nick.filter(F.col("form") == F.concat_ws("|", "other", "token")).select("form", F.col("entity").alias("to"))
-    short = nick.filter(F.col("form") != F.concat_ws("|", "other", "token"))
+    plain = rewritten.filter("way = 'plain'").select("form", F.col("entity").alias("to"))
+    short = rewritten.filter("way = 'nick'").select("form", "entity")
     hits = short.join(plain, "form").filter("entity != to").groupBy("entity").agg(F.collect_set("to").alias("tos"))
     by_nick = hits.filter(F.size("tos") == 1).select("entity", F.col("tos")[0].alias("to"))
     # two nicknames of one name, where the name itself doesn't occur
@@ -220,9 +228,9 @@ def variants(df: DataFrame, column: str = "name") -> DataFrame:
     by_twin = twins.filter(F.size("all") > 1).select(F.explode("all").alias("entity"), F.array_min("all").alias("to")).filter("entity != to")
 
     # one edit apart with the other token alike; the rarer of the two must be no established name
-    typo = rewritten.filter("way = 'typo'").select("form", "entity", "token").distinct()
-    several = typo.groupBy("form").agg(F.count_distinct("token").alias("k")).filter("k > 1").select("form")
-    met = typo.join(several, "form", "left_semi").join(often, "token")
+    typo = rewritten.filter("way = 'typo'").select("form", "entity", "token")
+    several = typo.groupBy("form").agg(F.min("token").alias("least"), F.max("token").alias("most")).filter("least != most").select("form")
+    met = materialise(typo.join(several, "form", "left_semi").distinct(), "met").join(often, "token")
     usual = met.groupBy("form").agg(F.max(F.struct("n", "token", "entity")).alias("top"))
     near = met.join(usual, "form").filter((F.col("entity") != F.col("top.entity")) & (F.col("n") < ESTABLISHED))
     near = near.select("entity", F.col("top.entity").alias("to"), "token", F.col("top.token").alias("wanted"), "n", F.col("top.n").alias("m"))
@@ -238,9 +246,11 @@ def variants(df: DataFrame, column: str = "name") -> DataFrame:
     full = initial.filter("kind = 'person'").groupBy("form").agg(F.min("person").alias("person"), F.count_distinct("person").alias("k")).filter("k = 1")
     by_initial = initial.filter("kind = 'initial'").select("form", "entity").join(full, "form").select("entity", F.col("person").alias("meant"))
     # a misspelt family name with an initial: just one person within one edit, and nobody of that very name
-    slips = rewritten.filter("way = 'initial typo'").select("form", "entity", "token").distinct().join(people, "entity")
-    alone = slips.filter("kind = 'initial'").join(by_initial.select("entity"), "entity", "left_anti").select("form", "entity", F.col("token").alias("written"))
-    close = alone.join(slips.filter("kind = 'person'").select("form", "token", "person"), "form").filter(one_edit(F.col("written"), F.col("token")))
+    slips = rewritten.filter("way = 'slip'").select("form", "entity", "token")
+    lonely = people.filter("kind = 'initial'").join(by_initial.select("entity"), "entity", "left_anti").select("entity")
+    alone = slips.join(lonely, "entity", "left_semi").select("form", "entity", F.col("token").alias("written"))
+    close = alone.join(slips.select("form", "token", F.col("entity").alias("of")), "form").filter(one_edit(F.col("written"), F.col("token")))
+    close = close.select("entity", "of").distinct().join(people.filter("kind = 'person'").select(F.col("entity").alias("of"), "person"), "of")
     close = close.groupBy("entity").agg(F.min("person").alias("meant"), F.count_distinct("person").alias("k")).filter("k = 1").select("entity", "meant")
     people = people.join(by_initial.unionByName(close).groupBy("entity").agg(F.min("meant").alias("meant")), "entity", "left")
     people = people.select("entity", F.coalesce("meant", "person").alias("person"))
