@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import incremental, langid, leaks, names, neardup, tokens, truncation
+from rosterlake.llm import incremental, langid, leaks, names, neardup, pii, tokens, truncation
 from rosterlake.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id, place, kind) of places that hold personal information."""
+    return pii.found_spans(table(spark, d, "candidates")).select("id", "place", "kind").distinct()
+
+
 _CUT_COLUMNS = ["headline", "rationale"]
 
 
@@ -58,5 +63,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 SQL: dict[str, str] = {}
