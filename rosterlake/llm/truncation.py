@@ -5,7 +5,7 @@ how often the corpus goes on after just these characters and how often a value
 ends there. A cut can fall anywhere, so it falls where the corpus nearly always
 goes on; a context after which values often end is a natural end, however often
 others go on. The log-odds of going on against ending, with what the value's
-length adds (values cut at a field limit pile up at one length), are compared
+length adds (values cut at a field limit share its length), are compared
 with a threshold per column and language, put where fewest values lie.
 
 Names, rare words and numbers stand for themselves nowhere else, so they are
@@ -36,7 +36,7 @@ ORDERS = (44, 32, 23, 16, 11, 7, 4)
 #: A context decides if, besides the value itself, so many values end after it or it goes on so often.
 ENDS, GOES_ON = 2, 12
 #: What the last word being a piece of a frequent word adds to the log-odds, and the most that the length adds.
-PIECE, PILE = 5.0, 1.5
+PIECE, PILE = 8.0, 1.5
 #: Words kept as they are: those of at least this share of a column's values, at most ``VOCABULARY`` of them.
 SHARE, VOCABULARY = 1 / 2000, 4_000
 #: Bits of the Bloom filter, as a power of two.
@@ -68,72 +68,78 @@ def language(text: str) -> str:
     return max(votes, key=lambda k: (votes[k], k == "en")) if votes else "en"
 
 
-def mask(text: str, vocabulary: frozenset[str]) -> str:
+class Mask:
     """Numbers as 0; words out of the vocabulary, and words with a capital that begin no sentence, as N."""
 
-    def one(m: re.Match) -> str:
+    def __init__(self, vocabulary: frozenset[str]):
+        self.vocabulary = vocabulary
+        self.fixed = {w: w for w in vocabulary if w.islower()}
+
+    def _one(self, m: re.Match) -> str:
         word = m.group()
+        if (same := self.fixed.get(word)) is not None:
+            return same
         if word[0].isdigit():
             return "0"
-        if word not in vocabulary:
+        if word not in self.vocabulary:
             return "N"
-        before = text[: m.start()].rstrip() if not word.islower() else ""
-        return word if not before or before[-1] in ".!?" else "N"
-
-    return _WORD.sub(one, text)
-
-
-def endings(text: str, vocabulary: frozenset[str]) -> tuple[list[str], bool]:
-    """The value masked, with its last word as it stands and, where that differs, masked too; whether that word is a piece."""
-    last = None
-    for last in _WORD.finditer(text):
-        pass
-    full = mask(text, vocabulary)
-    if last is None or last.end() < len(text):
-        return [full], False
-    plain, word = mask(text[: last.start()], vocabulary) + text[last.start() :], last.group()
-    piece = word not in vocabulary and not word.islower() and any(w.startswith(word) for w in vocabulary)
-    return ([plain] if plain == full else [plain, full]), piece
-
-
-def _hashes(points: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """A hash of each run of ``size`` characters, indexed by its end."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(points), base, np.uint64))
-        sums = np.cumsum(points * power)
-        part = sums[size - 1 :].copy()
-        part[1:] -= sums[: len(sums) - size]
-        # shifting every run to one place: multiply by the power that is still missing
-        part *= _inverse_powers(len(part))
-        part ^= np.uint64(salt)
-        part *= np.uint64(0xD6E8FEB86659FD93)
-        part ^= part >> np.uint64(32)
-    return part
-
-
-_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.cumprod(np.full(n, np.uint64(_INVERSE), np.uint64))
-    return out
+        text, i = m.string, m.start() - 1
+        while i >= 0 and text[i] in " \n\t":
+            i -= 1
+        return word if i < 0 or text[i] in ".!?" else "N"
+
+    def __call__(self, text: str) -> str:
+        return _WORD.sub(self._one, text)
+
+
+_LAST = re.compile(rf"(?:{_WORD.pattern})$")
+
+
+def endings(text: str, mask: Mask) -> tuple[str, str | None, bool]:
+    """The value masked; masked but for its last word, where that differs; whether that word is a piece of frequent ones."""
+    full = mask(text)
+    last = _LAST.search(text)
+    if last is None or full.endswith(word := last.group()):
+        return full, None, False
+    cut = len(full) - 1  # the last word is one character when masked
+    piece = word not in mask.vocabulary and not word.islower() and any(w.startswith(word) for w in mask.vocabulary)
+    return full, full[:cut] + word, piece
+
+
+class Runs:
+    """Hashes of all runs of characters of some texts, from one pass of prefix sums."""
+
+    _BASE = 0x9E3779B97F4A7C15
+    _INVERSE = pow(_BASE, -1, 1 << 64)
+
+    def __init__(self, texts: list[str]):
+        self.points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.stops = np.cumsum(self.lengths)
+        n = len(self.points)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(n, self._BASE, np.uint64))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.points * power)])
+            self.inverse = np.cumprod(np.full(n, self._INVERSE, np.uint64))
+
+    def hashes(self, size: int, salt: int, first: np.ndarray | slice) -> np.ndarray:
+        """The hashes of the runs of ``size`` characters that begin at the places ``first``."""
+        with np.errstate(over="ignore"):
+            if isinstance(first, slice):
+                h = self.sums[size:] - self.sums[: len(self.sums) - size]
+                h *= self.inverse[: len(h)]
+            else:
+                h = (self.sums[first + size] - self.sums[first]) * self.inverse[first]
+            h ^= np.uint64(salt)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        return h
 
 
 def _salt(column: str, lang: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{column}|{lang}|{size}")
 
 
-def end_hash(text: str, column: str, lang: str, size: int) -> int | None:
-    """The hash of the last ``size`` characters, the same as :func:`_hashes` gives inside a text."""
-    if len(text) < size:
-        return None
-    points = np.frombuffer(text[-size:].encode("utf-32-le"), np.uint32).astype(np.uint64)
-    h = int(_hashes(points, size, _salt(column, lang, size))[-1])
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = hashes.view(np.uint64)
     top = np.uint64(64 - BLOOM)
@@ -174,86 +180,123 @@ def _counted(seen: dict, rows: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["field_name", "word", "n"])
 
 
-_ASKED = "value_id bigint, field_name string, lang string, size int, marked boolean, piece boolean, masked int, context int, hash bigint"
+_PREPARED = "value_id bigint, field_name string, lang string, size int, marked boolean, piece boolean, masked string, plain string, n bigint"
+_ASKED = "value_id bigint, masked int, context int, hash bigint"
 
 
-def score(values: DataFrame) -> DataFrame:
-    """(value_id, log_odds, marked) of (value_id, field_name, value) rows, values neither null nor blank.
+def prepare(values: DataFrame) -> DataFrame:
+    """Each value with its language, its length, what marks it as cut, and its masked forms."""
+    vocabulary = values.sparkSession.sparkContext.broadcast(_vocabulary(values))
+    names = [x.split()[0] for x in _PREPARED.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.int64())
 
-    log_odds is of going on against ending; marked says that the value shows
-    that it was cut. Values should be distinct per field.
-    """
-    spark = values.sparkSession
-    vocabulary = spark.sparkContext.broadcast(_vocabulary(values))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = {c: Mask(v) for c, v in vocabulary.value.items()}
         for batch in batches:
             out = []
-            for vid, column, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                lang, known = language(text), vocabulary.value.get(column, frozenset())
+            for vid, column, text, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                full, plain, piece = endings(text.rstrip(), masks[column])
                 marked = bool(_MARK.search(text) or _OPEN.search(text))
-                found, piece = endings(text.rstrip(), known)
-                for masked, ending in enumerate(found):
+                out.append((vid, column, language(text), len(text), marked, piece, "\x02" + full, None if plain is None else "\x02" + plain, n))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    return values.select("value_id", "field_name", "value", "n").mapInArrow(run, _PREPARED)
+
+
+def _groups(batch: pa.RecordBatch, column: int, lang: int) -> Iterator[tuple[str, str, np.ndarray]]:
+    """(field_name, lang, rows) of the groups in a batch."""
+    names = np.array([f"{a}\x00{b}" for a, b in zip(batch.column(column).to_pylist(), batch.column(lang).to_pylist(), strict=True)])
+    for name in np.unique(names):
+        yield *name.split("\x00"), np.flatnonzero(names == name)
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the last characters of each value, for every order."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 10_000):
+            batch = whole.slice(at, 10_000)
+            ids = batch.column(0).to_numpy()
+            for column, lang, rows in _groups(batch, 1, 2):
+                for masked, texts in ((1, batch.column(3)), (0, batch.column(4))):
+                    own = [(i, t) for i, t in zip(rows, texts.take(pa.array(rows)).to_pylist(), strict=True) if t is not None]
+                    if not own:
+                        continue
+                    runs, vid = Runs([t for _, t in own]), ids[[i for i, _ in own]]
                     for k, size in enumerate(ORDERS):
-                        if (h := end_hash("\x02" + ending, column, lang, size)) is not None:
-                            out.append((vid, column, lang, len(text), marked, piece, masked, k, h))
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(9)]
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["value_id", "field_name", "lang", "size", "marked", "piece", "masked", "context", "hash"])
-
-    asked = materialise(values.select("value_id", "field_name", "value").mapInArrow(ask, _ASKED), "asked")
-    # only the wholly masked ending counts as an end: the other is a question about the same end
-    final = asked.groupBy("value_id").agg(F.max("masked").alias("final"))
+                        long = runs.lengths >= size
+                        h = runs.hashes(size, _salt(column, lang, size), (runs.stops - size)[long])
+                        n = len(h)
+                        yield pa.RecordBatch.from_arrays([pa.array(vid[long]), pa.array(np.full(n, masked, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(h.view(np.int64))], ["value_id", "masked", "context", "hash"])
+
+
+def score(values: DataFrame) -> DataFrame:
+    """(value_id, field_name, lang, size, marked, ratio, context) of (value_id, field_name, value, n) rows, values neither null nor blank.
+
+    ratio is the log-odds of going on against ending; context says which order
+    decided; marked says that the value shows that it was cut. Values should be
+    distinct per field, n says how many ids have each.
+    """
+    spark = values.sparkSession
+    prepared = materialise(prepare(values), "prepared")
+    columns = prepared.select("value_id", "field_name", "lang", "masked", "plain")
+    asked = materialise(columns.mapInArrow(_ask, _ASKED), "asked")
     bloom = spark.sparkContext.broadcast(_bloom(asked))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bloom.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(at, 20_000)
-                groups: dict[tuple[str, str], list[str]] = {}
-                for column, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    groups.setdefault((column, language(text)), []).append("\x02" + mask(text.rstrip(), vocabulary.value.get(column, frozenset())))
-                for (column, lang), texts in groups.items():
-                    yield from _inside(column, lang, texts, table)
-
-    counted = values.select("value_id", "field_name", "value").mapInArrow(inside, "hash bigint, n bigint")
-    on = counted.groupBy("hash").agg(F.sum("n").alias("goes_on"))
-    ends = asked.join(final, "value_id").filter("masked = final").groupBy("hash").agg(F.count("*").alias("ends"))
-    odds = asked.join(ends, "hash", "left").join(on, "hash", "left").fillna(0, ["ends", "goes_on"])
-    # the value itself isn't evidence about itself
-    odds = odds.join(final, "value_id").withColumn("ends", F.greatest(F.lit(0), F.col("ends") - (F.col("masked") == F.col("final")).cast("int")))
-    enough = F.when((F.col("ends") >= ENDS) | (F.col("goes_on") >= GOES_ON), F.struct("context", "masked", "ends", "goes_on"))
+            for at in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(at, 10_000)
+                often = batch.column(3).to_numpy()
+                for column, lang, rows in _groups(batch, 0, 1):
+                    for part in (rows[often[rows] == 1], rows[often[rows] > 1]):
+                        if len(part):
+                            yield from _inside(column, lang, batch.column(2).take(pa.array(part)).to_pylist(), often[part], table)
+
+    on = prepared.select("field_name", "lang", "masked", "n").mapInArrow(inside, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("goes_on"))
+    # the wholly masked ending is the end that counts; the other one is a question about the same end
+    ends = asked.filter("masked = 1").join(prepared.select("value_id", "n"), "value_id").groupBy("hash").agg(F.sum("n").alias("ends"))
+    counts = materialise(ends.join(on, "hash", "full").fillna(0, ["ends", "goes_on"]), "counts")
+    odds = asked.join(counts, "hash", "left").fillna(0, ["ends", "goes_on"])
+    # one occurrence of the value is the one in question and no evidence
+    odds = odds.withColumn("ends", F.greatest(F.lit(0), F.col("ends") - F.col("masked")))
+    enough = F.when((F.col("ends") >= ENDS) | (F.col("goes_on") >= GOES_ON), F.struct("context", "ends", "goes_on"))
     # the longest context that was seen often enough; with the last word as it stands if any was, else with it masked
     best = odds.groupBy("value_id").agg(
         F.min(F.when((F.col("masked") == 0) & (F.col("context") <= F.lit(len(ORDERS) - 2)), enough)).alias("plain"),
-        F.min(F.when(F.col("masked") == F.col("final"), enough)).alias("full"),
-        F.first("field_name").alias("field_name"), F.first("lang").alias("lang"), F.first("size").alias("size"), F.max("marked").alias("marked"), F.max("piece").alias("piece"),
+        F.min(F.when(F.col("masked") == 1, enough)).alias("full"),
     )
-    chosen = best.withColumn("c", F.coalesce("plain", "full"))
+    chosen = best.select("value_id", F.coalesce("plain", "full").alias("c"))
     ratio = F.log((F.coalesce("c.goes_on", F.lit(0)) + PRIOR) / (F.coalesce("c.ends", F.lit(0)) + PRIOR))
+    rest = prepared.select("value_id", "field_name", "lang", "size", "marked", "piece").join(chosen, "value_id", "left")
     ratio = ratio + F.when(F.col("piece"), F.lit(PIECE)).otherwise(F.lit(0.0))
-    return chosen.select("value_id", "field_name", "lang", "size", "marked", ratio.alias("ratio"), "c.context")
+    return rest.select("value_id", "field_name", "lang", "size", "marked", ratio.alias("ratio"), "c.context")
 
 
-def _inside(column: str, lang: str, texts: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _inside(column: str, lang: str, texts: list[str], often: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """How often each asked context goes on in the texts: (hash, n)."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(t) for t in texts])
-    stops = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    last = np.zeros(len(points), bool)
-    last[stops - 1] = True
+    runs = Runs(texts)
+    weight = np.repeat(often, runs.lengths)
+    # how many characters of its own text come after each place
+    rest = np.repeat(runs.stops, runs.lengths) - np.arange(len(runs.points))
     for size in ORDERS:
-        if len(points) < size:
+        if len(runs.points) < size:
             continue
-        h = _hashes(points, size, _salt(column, lang, size))
-        ok = (owner[: len(h)] == owner[size - 1 :]) & ~last[size - 1 :]
+        h = runs.hashes(size, _salt(column, lang, size), slice(None))
+        inside = rest[: len(h)] > size  # the run and one character more
+        h = h[inside]
         one, two = _bits(h)
-        ok &= table[one] & table[two]
-        found, n = np.unique(h[ok], return_counts=True)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+        asked = table[one] & table[two]
+        h = h[asked]
+        if not len(h):
+            continue
+        if often.max() == 1:
+            found, n = np.unique(h, return_counts=True)
+        else:
+            found, at = np.unique(h, return_inverse=True)
+            n = np.bincount(at, weights=weight[: len(inside)][inside][asked])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
 
 def _bloom(asked: DataFrame) -> np.ndarray:
@@ -289,7 +332,8 @@ def cut_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         long = long.unionByName(p)
     long = long.filter(F.col("id").isNotNull() & (F.trim("value") != "")).distinct()
     long = materialise(long.withColumn("value_id", F.xxhash64("field_name", "value")), "values")
-    scored = materialise(score(long.select("value_id", "field_name", "value").dropDuplicates(["value_id"])), "scored")
+    values = long.groupBy("value_id").agg(F.first("field_name").alias("field_name"), F.first("value").alias("value"), F.count("*").alias("n"))
+    scored = materialise(score(values), "scored")
     odds = scored.join(F.broadcast(_limits(scored)), ["field_name", "size"], "left")
     odds = odds.select("value_id", "field_name", "lang", "marked", (F.col("ratio") + F.coalesce("pile", F.lit(0.0))).alias("log_odds"))
     limit = _thresholds(odds)
@@ -310,14 +354,15 @@ def _thresholds(odds: DataFrame) -> DataFrame:
 
 
 def _limits(scored: DataFrame) -> DataFrame:
-    """(field_name, size, pile): how much likelier a cut is at lengths where values pile up.
+    """(field_name, size, pile): how much likelier a value of that length is among those that look cut than among whole ones.
 
-    There is a row per length that stands out, and no value is longer than its
-    column allows, so the table is small; at most 2,000 lengths are kept.
+    Values far on either side of the threshold stand for cut and whole ones. The
+    lengths that stand out are those of field limits, few whatever the data's
+    size; at most 2,000 are kept.
     """
-    sizes = scored.groupBy("field_name", "size").agg(F.count("*").alias("n"))
-    near = sizes.select("field_name", F.explode(F.sequence(F.col("size") - 6, F.col("size") + 6)).alias("at"), F.col("size").alias("from"), "n")
-    usual = near.filter(F.abs(F.col("at") - F.col("from")) > 1).groupBy("field_name", F.col("at").alias("size")).agg((F.sum("n") / 10).alias("usual"))
-    both = sizes.join(usual, ["field_name", "size"])
-    share = F.col("n") / (F.col("usual") + 1)
-    return both.filter((share >= 3) & (F.col("n") >= 10)).orderBy(F.desc("n")).limit(2_000).select("field_name", "size", F.least(F.lit(PILE), F.log(share - 1)).alias("pile"))
+    cut, whole = F.count_if(F.col("ratio") > USUAL + 0.5), F.count_if(F.col("ratio") < LOWEST)
+    sizes = scored.filter(~F.col("marked")).groupBy("field_name", "size").agg(cut.alias("cut"), whole.alias("whole"))
+    total = sizes.groupBy("field_name").agg(F.sum("cut").alias("all_cut"), F.sum("whole").alias("all_whole"))
+    share = ((F.col("cut") + 1) / (F.col("all_cut") + 100)) / ((F.col("whole") + 1) / (F.col("all_whole") + 100))
+    both = sizes.join(F.broadcast(total), "field_name").filter((F.col("cut") >= 5) & (share >= 2))
+    return both.orderBy(F.desc("cut")).limit(2_000).select("field_name", "size", F.least(F.lit(PILE), F.log(share)).alias("pile"))
