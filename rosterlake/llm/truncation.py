@@ -60,12 +60,13 @@ _LANGUAGE = {w: code for code, ws in _COMMON.items() for w in ws.split()}
 
 
 def language(text: str) -> str:
-    """The language most of whose frequent words stand in the text; English if there are none."""
+    """The language most of whose frequent words stand in the text; English if fewer than two do."""
     votes: dict[str, int] = {}
     for w in re.findall(r"[^\W\d_]+", text.lower()):
         if (code := _LANGUAGE.get(w)) is not None:
             votes[code] = votes.get(code, 0) + 1
-    return max(votes, key=lambda k: (votes[k], k == "en")) if votes else "en"
+    best = max(votes, key=lambda k: (votes[k], k == "en")) if votes else "en"
+    return best if votes.get(best, 0) > 1 else "en"
 
 
 class Mask:
@@ -102,7 +103,7 @@ def endings(text: str, mask: Mask) -> tuple[str, str | None, bool]:
     if last is None or full.endswith(word := last.group()):
         return full, None, False
     cut = len(full) - 1  # the last word is one character when masked
-    piece = word not in mask.vocabulary and not word.islower() and any(w.startswith(word) for w in mask.vocabulary)
+    piece = word not in mask.vocabulary and any(w.startswith(word) for w in mask.vocabulary)
     return full, full[:cut] + word, piece
 
 
