@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rosterlake.plans import records
+from rosterlake.plans import pool, privacy, records, relational, retrieval
 
-MODULES = (records,)
+MODULES = (retrieval, pool, privacy, relational, records)
 
 
 def queries() -> dict:
