@@ -43,4 +43,12 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_projects, p4_found, p4_consistent)}
-SQL: dict[str, str] = {}
+_NODES = r"""nodes AS (
+  SELECT DISTINCT c.id, substr(n.fullkey, 3) AS node_path, regexp_replace(substr(n.fullkey, 3), '(^|\.)[^.\[\]]+(\[\d+\])*$', '') AS parent_path
+  FROM (SELECT id, source FROM candidates WHERE json_valid(source) AND json_type(source) = 'OBJECT') c, json_tree(c.source) AS n WHERE n.type = 'OBJECT' AND n.fullkey <> '$'),
+kinds AS (SELECT *, regexp_replace(node_path, '\[\d+\]', '[]', 'g') AS kind FROM nodes)"""
+
+SQL = {
+    "p1_found": f"WITH {_NODES} SELECT id, node_path, parent_path FROM nodes",
+    "p1_kinds": f"WITH {_NODES} SELECT kind, count(*) AS n_rows, count(DISTINCT id) AS n_candidates, count(DISTINCT id || ' ' || parent_path) AS n_parents FROM kinds GROUP BY kind",
+}
