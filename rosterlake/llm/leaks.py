@@ -29,7 +29,7 @@ _INLINE = re.compile(r"</?(?:b|i|em|strong|a|span|u|code|font|mark|small|sub|sup
 _TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 #: A line by itself that only says that the page ends or the text goes on.
-_BREAK = re.compile(r"^[\W_]*(?:\[[^\[\]\n]{1,40}\]|(?:[-*=_~#]{2,})\s*[^\n]{0,40}?\s*(?:[-*=_~#]{2,})|(?:page|seite|página|pagina|страница|p\.|s\.)\s*\d+(?:\s*(?:of|/|von|de|van|sur|из)\s*\d+)?)[\W_]*$", re.M | re.I)
+_BREAK = re.compile(r"^[^\w\n]*(?:\[[^\[\]\n]{1,40}\]|(?:[-*=_~#]{2,})\s*[^\n]{0,40}?\s*(?:[-*=_~#]{2,})|(?:page|seite|página|pagina|страница|p\.|s\.)\s*\d+(?:\s*(?:of|/|von|de|van|sur|из)\s*\d+)?)[^\w\n]*$", re.M | re.I)
 _WORD = re.compile(r"[^\W_]+")
 
 

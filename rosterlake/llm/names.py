@@ -155,6 +155,8 @@ def _shorter(token: str) -> list[str]:
     return [token, *{token[:i] + token[i + 1 :] for i in range(len(token))}]
 
 
+#: Longer words aren't names; they get no misspelt forms.
+LONGEST = 64
 _FORM = "form bigint, way string, entity bigint, token string"
 
 
@@ -181,17 +183,17 @@ def forms(found: DataFrame) -> DataFrame:
                         for token, other in ((a, b), (b, a)):
                             out.append((_hash(f"{other}|{token}"), "plain", entity, token))
                             out.extend((_hash(f"{other}|{full}"), "nick", entity, token) for full in _NICK.get(token, ()))
-                            if len(token) >= 4:
+                            if 4 <= len(token) <= LONGEST:
                                 short, meant = _shorter(token), (other, *_NICK.get(other, ()))
                                 out.extend((_hash(f"{m}|{s}"), "typo", entity, token) for m in meant for s in short)
                                 out.extend((_hash(f"{i}|{s}"), "slip", entity, token) for i in {m[0] for m in meant} for s in short)
                             out.extend((_hash(f"{other}|{i}"), "initial", entity, token) for i in {token[0], *(n[0] for n in _NICK.get(token, ()))})
                     elif kind == "initial":
                         out.append((_hash(f"{a}|{initial}"), "initial", entity, a))
-                        if len(a) >= 5:
+                        if 5 <= len(a) <= LONGEST:
                             out.extend((_hash(f"{initial}|{s}"), "slip", entity, a) for s in _shorter(a))
                     elif kind == "agency":
-                        out.extend((_hash(f"{b}|{s}"), "typo", entity, a) for s in _shorter(a))
+                        out.extend((_hash(f"{b}|{s}"), "typo", entity, a) for s in (_shorter(a) if len(a) <= LONGEST else (a,)))
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in range(4)]
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["form", "way", "entity", "token"])

@@ -99,7 +99,7 @@ _LAST = re.compile(rf"(?:{_WORD.pattern})$")
 def endings(text: str, mask: Mask) -> tuple[str, str | None, bool]:
     """The value masked; masked but for its last word, where that differs; whether that word is a piece of frequent ones."""
     full = mask(text)
-    last = _LAST.search(text)
+    last = _LAST.search(text[-200:])
     if last is None or full.endswith(word := last.group()):
         return full, None, False
     cut = len(full) - 1  # the last word is one character when masked
