@@ -118,7 +118,8 @@ def ingest(records: DataFrame, keys: list[str], record: str, imported_at: int, g
     """Records as rows of the pool, with their keys and ``held_pii``.
 
     The id is derived from the keys, so importing a file again gives the same
-    rows. Texts that aren't JSON objects give nothing.
+    rows. Texts that aren't JSON objects, or that nest about a thousand deep,
+    give nothing.
     """
     schema = StructType([*[records.schema[k] for k in keys], *StructType.fromDDL("id string, name string, headline string, source string, held_pii boolean").fields])
 
@@ -132,9 +133,13 @@ def ingest(records: DataFrame, keys: list[str], record: str, imported_at: int, g
                 except (TypeError, ValueError, RecursionError):
                     continue
                 if isinstance(got, dict):
+                    try:
+                        row = candidate(got, guard_credentials)
+                    except RecursionError:  # nested deeper than Python can walk
+                        continue
                     h = hashlib.blake2b(repr([c[i] for c in own]).encode(), digest_size=16).hexdigest()
                     at.append(i)
-                    out.append((f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", *candidate(got, guard_credentials)))
+                    out.append((f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", *row))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             take = pa.array(at, pa.int32())
             arrays = [batch.column(i).take(take) for i in range(len(keys))] + [pa.array(c, pa.bool_() if j == 4 else pa.string()) for j, c in enumerate(cols)]
