@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,6 @@ FEWEST_WORDS = 25
 SIMILAR = 0.7
 
 _GOLDEN = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _PIECE = re.compile(r"(?<=[.!?;])\s+|\n+")
 
 
@@ -48,30 +46,31 @@ def strings(value) -> Iterator[str]:
             stack.extend(reversed(x))
 
 
-class Hasher:
+class Hasher(dict):
     """64-bit hashes of words, remembered; the memory is bounded by emptying it."""
 
     def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, word: str) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            got = self.known[word] = xxhash.xxh3_64_intdigest(word)
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
 
 def tokens_of(found: list[str], hasher: Hasher) -> np.ndarray:
     """A hash for each occurrence: the n-th of a word has its own, so sets compare as bags."""
-    out = []
-    for word, n in Counter(found).items():
-        h = hasher(word)
-        out.append(h)
-        for k in range(1, n):
-            out.append((h ^ (k * _GOLDEN)) * 0xD6E8FEB86659FD93 & _MASK)
-    return np.array(out, dtype=np.uint64)
+    h = np.fromiter(map(hasher.__getitem__, found), np.uint64, len(found))
+    h.sort()
+    again = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
+    if again.any():
+        place = np.arange(len(h))
+        nth = (place - np.maximum.accumulate(np.where(again, 0, place)))[again].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            h[again] = (h[again] ^ (nth * np.uint64(_GOLDEN))) * np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
 def word_tokens(record, hasher: Hasher) -> np.ndarray:
@@ -84,7 +83,7 @@ def content_hash(tokens: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         x = tokens * np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(29)
-        total = int(x.sum(dtype=np.uint64)) ^ (len(tokens) * _GOLDEN & _MASK)
+        total = int(x.sum(dtype=np.uint64)) ^ (len(tokens) * _GOLDEN & (1 << 64) - 1)
     return total - (1 << 64) if total >> 63 else total
 
 
