@@ -206,12 +206,12 @@ def forms(found: DataFrame) -> DataFrame:
 ESTABLISHED = 8
 
 
-def variants(df: DataFrame, column: str = "name") -> DataFrame:
-    """(name_a, name_b), name_a < name_b by code point: different values that name the same person or agency.
+def people(df: DataFrame, column: str = "name") -> DataFrame:
+    """(person, name): every distinct value that names somebody, with a number of whom it names.
 
-    Null and blank names, and names that name nobody ("Unknown candidate"),
-    pair with nothing; equal values count once. Other columns don't matter,
-    whatever their names; an empty table gives no rows.
+    Null and blank names, and names that name nobody ("Unknown candidate"), give
+    no row; equal values count once. Other columns don't matter, whatever their
+    names; an empty table gives no rows.
     """
     found = materialise(entities(df, column), "entities")
     rewritten = materialise(forms(found), "forms")
@@ -257,7 +257,19 @@ def variants(df: DataFrame, column: str = "name") -> DataFrame:
     people = people.join(by_initial.unionByName(close).groupBy("entity").agg(F.min("meant").alias("meant")), "entity", "left")
     people = people.select("entity", F.coalesce("meant", "person").alias("person"))
 
-    named = materialise(found.select("name", "entity").join(people, "entity").select("person", "name").distinct(), "named")
+    return materialise(found.select("name", "entity").join(people, "entity").select("person", "name").distinct(), "named")
+
+
+def groups(df: DataFrame, column: str = "name") -> DataFrame:
+    """(name, group_name, n_links): one row per spelling that has others beside it; group_name is the least of them."""
+    named = people(df, column)
+    sizes = named.groupBy("person").agg(F.min("name").alias("group_name"), F.count("*").alias("n")).filter("n > 1")
+    return named.join(sizes, "person").select("name", "group_name", (F.col("n") - 1).alias("n_links"))
+
+
+def variants(df: DataFrame, column: str = "name") -> DataFrame:
+    """(name_a, name_b), name_a < name_b by code point: different values that name the same person or agency, of :func:`people`."""
+    named = people(df, column)
     a, b = named.select("person", F.col("name").alias("name_a")), named.select("person", F.col("name").alias("name_b"))
     return a.join(b, "person").filter("name_a < name_b").select("name_a", "name_b").distinct()
 

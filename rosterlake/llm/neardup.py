@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import words
+from rosterlake.llm.graph import components
 from rosterlake.session import materialise
 
 BANDS, ROWS = 26, 6
@@ -326,6 +327,25 @@ def similar_classes(df: DataFrame, key: str, source: str, least: float = words.S
     return members, links
 
 
+def similar_groups(df: DataFrame, key: str, source: str, least: float = words.SIMILAR) -> DataFrame:
+    """(id, group_id, n_links): one row per id that repeats another's record.
+
+    Groups are the connected components of the links; group_id is the least id
+    of a group, n_links the number of ids whose records the id's repeats.
+    """
+    members, links = similar_classes(df, key, source, least)
+    links = materialise(links, "links")
+    size = members.groupBy("content").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    both = links.select("content_a", "content_b").unionByName(links.select(F.col("content_b").alias("content_a"), F.col("content_a").alias("content_b")))
+    near = both.join(size.select(F.col("content").alias("content_b"), "copies"), "content_b").groupBy(F.col("content_a").alias("content")).agg(F.sum("copies").alias("near"))
+    linked = components(links, "content_a", "content_b").withColumnRenamed("entity", "content")
+    whole = size.join(near, "content", "left").join(linked, "content", "left")
+    whole = whole.select("content", "least", F.coalesce("component", "content").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    whole = materialise(whole.filter("n_links > 0"), "classes")
+    named = whole.groupBy("component").agg(F.min("least").alias("group_id"))
+    return members.join(whole, "content").join(named, "component").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links"))
+
+
 def similar_pairs(df: DataFrame, key: str, source: str, least: float = words.SIMILAR) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every two ids whose records repeat each other, full copies included.
 

@@ -14,6 +14,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found_spans(table(spark, d, "candidates")).select("id", "place", "kind").distinct()
 
 
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, headline, source) with typed placeholders for personal information."""
+    candidates = table(spark, d, "candidates")
+    return pii.redacted(candidates, pii.found_spans(candidates))
+
+
 _CUT_COLUMNS = ["headline", "rationale"]
 
 
@@ -43,6 +49,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "candidates"))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(name, group_name, n_links): spellings that belong together."""
+    return names.groups(table(spark, d, "candidates"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(id, group_id, n_links): groups of candidates that share most of their records' text."""
+    return neardup.similar_groups(table(spark, d, "candidates"), "id", "source")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(id_a, id_b) of candidates whose records repeat each other."""
     return neardup.similar_pairs(table(spark, d, "candidates"), "id", "source")
@@ -63,5 +79,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_rates, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, lang, confidence): the main language of every document with words."""
+    return langid.identify(table(spark, d, "documents")).select("doc_id", F.col("main").alias("lang"), F.round("confidence", 6).alias("confidence"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ord, lang, confidence, n_chars) of every segment."""
+    found = langid.identify(table(spark, d, "documents")).select("doc_id", F.explode("segments").alias("s"))
+    return found.select("doc_id", "s.ord", "s.lang", F.round("s.confidence", 6).alias("confidence"), F.length("s.segment").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_redacted, p3_found, p3_rates, p5_found, p6_found, p6_groups, p7_found, p7_groups, p8_ids, p9_found, p10_found, p10_documents, p10_segments,
+)}
 SQL: dict[str, str] = {}

@@ -143,3 +143,12 @@ def test_components(spark):
     got = {r.entity: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert {got[i] for i in range(31)} == {0} and got[102] == 100
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_groups_and_links(spark, records):
+    rows = {r.id: (r.group_id, r.n_links) for r in neardup.similar_groups(_frame(spark, records), "id", "source").collect()}
+    pairs = [(r.id_a, r.id_b) for r in neardup.similar_pairs(_frame(spark, records), "id", "source").collect()]
+    links = Counter(x for p in pairs for x in p)
+    assert {i: n for i, (_, n) in rows.items()} == dict(links)
+    assert all(rows[a][0] == rows[b][0] for a, b in pairs)
+    assert neardup.similar_groups(_frame(spark, records).limit(0), "id", "source").count() == 0

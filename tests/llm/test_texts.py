@@ -230,3 +230,16 @@ def test_reliabilities_follow_agreement():
     p, table = pii.reliabilities(votes, np.ones(3000))
     assert ((p > 0.5) == truth)[np.abs(votes).sum(axis=1) > 0].mean() > 0.9
     assert table[0, 1, 1] > table[2, 1, 1]
+
+
+def test_redacted_rows(spark, people):
+    rows = {r.id: r for r in pii.redacted(people, pii.found_spans(people)).collect() if r.id in ("tel-0", "tree-0", "clean0-0", "bad", "n")}
+    assert json.loads(rows["tel-0"].source)["notes"] == "Call <PHONE> before noon"
+    tree = json.loads(rows["tree-0"].source)
+    assert tree["refs"][0] == {"name": "<NAME>", "phone": "<PHONE>"} and tree["contact"]["address"]["line"] == "<ADDRESS>"
+    assert rows["clean0-0"].source == json.dumps({"notes": CLEAN[0], "salary": 90000}) and rows["bad"].source == "{cut a@b.example" and rows["n"].source is None
+
+
+def test_name_groups(spark):
+    df = spark.createDataFrame([("Karl Zembrov",), ("KARL ZEMBROV",), ("Zembrov, Karl",), ("Ida Moll",)], "name string")
+    assert {tuple(r) for r in names.groups(df).collect()} == {(n, "KARL ZEMBROV", 2) for n in ("Karl Zembrov", "KARL ZEMBROV", "Zembrov, Karl")}
