@@ -10,17 +10,19 @@ from rosterlake.functions import text, verdicts
 SUMMARY = ("id", "name", "headline", "imported_at", "score", "recommendation", "rationale", "analyzed_at")
 
 
-def newest(candidates: DataFrame) -> DataFrame:
-    """One row per id: the one analysed last, then imported last.
+def newest(candidates: DataFrame, *columns: str) -> DataFrame:
+    """One row per id: the one analysed last, then imported last; all columns, or the id and those named.
+
+    Name the columns that are needed: only they are read and shuffled.
 
     Partial maxima per id, so an id that stands in very many rows is no burden
     to one task. Null ids are left out.
     """
-    rest = [c for c in candidates.columns if c != "id"]
+    rest = [c for c in columns or candidates.columns if c != "id"]
     order = [F.coalesce("analyzed_at", F.lit(-1)), "imported_at", "request_id", "record_no"]
     row = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row"))
     best = candidates.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max(row).alias("best"))
-    return best.select("id", "best.row.*").select(*candidates.columns)
+    return best.select("id", "best.row.*").select(*(columns and ["id", *rest] or candidates.columns))
 
 
 def pool_order() -> list[Column]:

@@ -15,23 +15,23 @@ NOW = 1_767_225_600
 SOUGHT = "stream processing"
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return views.newest(table(spark, d, "candidates"))
+def _pool(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return views.newest(table(spark, d, "candidates"), *columns)
 
 
 def pool_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The pool, best first, unscored last."""
-    return views.summary(_pool(spark, d)).orderBy(*views.pool_order())
+    return views.summary(_pool(spark, d, *views.SUMMARY)).orderBy(*views.pool_order())
 
 
 def pool_ranked_plain(spark: SparkSession, d: str) -> DataFrame:
     """The pool where unscored rows count as 0."""
-    return _pool(spark, d).select("id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(*views.plain_order())
+    return _pool(spark, d, "score").select("id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(*views.plain_order())
 
 
 def pool_head(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 rows by id: the scan that fits one analysis."""
-    return _pool(spark, d).select("id", "name").orderBy("id").limit(200)
+    return _pool(spark, d, "name").select("id", "name").orderBy("id").limit(200)
 
 
 def pool_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -42,49 +42,49 @@ def pool_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_delete(spark: SparkSession, d: str) -> DataFrame:
     """The pool without the candidates that pass."""
-    pool = _pool(spark, d)
+    pool = _pool(spark, d, "recommendation")
     return source.delete(pool, views.with_verdict(pool, "PASS")).select("id", "recommendation")
 
 
 def pool_filter_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Candidates to interview."""
-    return views.with_verdict(_pool(spark, d), "INTERVIEW").select("id", "name", "score")
+    return views.with_verdict(_pool(spark, d, "name", "score", "recommendation"), "INTERVIEW").select("id", "name", "score")
 
 
 def pool_search(spark: SparkSession, d: str) -> DataFrame:
     """Candidates whose name, headline or rationale holds the words."""
-    return views.search(_pool(spark, d), SOUGHT).select("id", "name")
+    return views.search(_pool(spark, d, "name", "headline", "rationale"), SOUGHT).select("id", "name")
 
 
 def pool_display_rank(spark: SparkSession, d: str) -> DataFrame:
     """Places within a filtered view."""
     from rosterlake.operators import order
 
-    seen = views.search(views.with_verdict(_pool(spark, d), "INTERVIEW"), SOUGHT).select("id", "name", "score")
+    seen = views.search(views.with_verdict(_pool(spark, d, "name", "headline", "rationale", "score", "recommendation"), "INTERVIEW"), SOUGHT).select("id", "name", "score")
     return order.ranked(seen, views.pool_order()).select("id", "rank")
 
 
 def pool_analysed(spark: SparkSession, d: str) -> DataFrame:
-    return views.analysed(_pool(spark, d)).select("id", "analyzed_at")
+    return views.analysed(_pool(spark, d, "analyzed_at")).select("id", "analyzed_at")
 
 
 def pool_cards(spark: SparkSession, d: str) -> DataFrame:
     """Initials, per cent, label and age of each candidate."""
-    return views.cards(_pool(spark, d), NOW)
+    return views.cards(_pool(spark, d, "name", "score", "recommendation", "analyzed_at"), NOW)
 
 
 def pool_caps(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut to what is stored of them."""
-    pool = _pool(spark, d)
+    pool = _pool(spark, d, "name", "headline", "rationale")
     return pool.select("id", *[text.capped(F.col(c), c).alias(c) for c in ("name", "headline", "rationale")])
 
 
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
-    return views.verdict_counts(_pool(spark, d))
+    return views.verdict_counts(_pool(spark, d, "score", "recommendation"))
 
 
 def pool_status(spark: SparkSession, d: str) -> DataFrame:
-    return views.status(_pool(spark, d))
+    return views.status(_pool(spark, d, "analyzed_at"))
 
 
 def verdicts_normalised(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def unknown_handles(spark: SparkSession, d: str) -> DataFrame:
 def apply_rankings(spark: SparkSession, d: str) -> DataFrame:
     """The pool after the last answer for each record was applied."""
     last = rank.last_wins(_rankings(spark, d), "request_id", ["created_at", "payload_id", "position"])
-    done = rank.apply(_pool(spark, d), last, rank.handles(table(spark, d, "candidates")), "request_id", NOW)
+    done = rank.apply(_pool(spark, d, "score", "recommendation", "rationale", "analyzed_at"), last, rank.handles(table(spark, d, "candidates")), "request_id", NOW)
     return done.select("id", "score", "recommendation", "analyzed_at", "applied")
 
 
@@ -148,7 +148,7 @@ def analysis_tally(spark: SparkSession, d: str) -> DataFrame:
 
 def baseline_join(spark: SparkSession, d: str) -> DataFrame:
     """The pool with the fixed verdicts of the named candidates."""
-    done = rank.apply_baseline(_pool(spark, d), table(spark, d, "baseline_verdicts"))
+    done = rank.apply_baseline(_pool(spark, d, "name", "score", "recommendation", "rationale"), table(spark, d, "baseline_verdicts"))
     return done.select("id", "score", "recommendation", "applied")
 
 
@@ -174,7 +174,7 @@ def import_summary(spark: SparkSession, d: str) -> DataFrame:
 def pool_export(spark: SparkSession, d: str) -> DataFrame:
     """Every record, ready to be imported again."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return source.export(_pool(spark, d))
+    return source.export(_pool(spark, d, "source"))
 
 
 def history_tail(spark: SparkSession, d: str) -> DataFrame:

@@ -78,20 +78,20 @@ def pii_email_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def json_promote(spark: SparkSession, d: str) -> DataFrame:
     """Name and headline of each record, from whichever key holds them."""
-    pool = views.newest(table(spark, d, "candidates")).select("id", "source")
+    pool = views.newest(table(spark, d, "candidates"), "source")
     named = scrub.json_column(pool, "source", "name", lambda r: (first_text(r, NAME_KEYS) or NOBODY) if isinstance(r, dict) else NOBODY)
     return scrub.json_column(named, "source", "headline", lambda r: first_text(r, HEADLINE_KEYS) if isinstance(r, dict) else "").select("id", "name", "headline")
 
 
 def json_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Keys and values of each record as one text."""
-    pool = views.newest(table(spark, d, "candidates")).select("id", "source")
+    pool = views.newest(table(spark, d, "candidates"), "source")
     return scrub.json_column(pool, "source", "flat", lambda v: scrub.flatten(v)).select("id", "flat")
 
 
 def json_sanitise(spark: SparkSession, d: str) -> DataFrame:
     """Each record with identifiers replaced in values and keys."""
-    pool = views.newest(table(spark, d, "candidates")).select("id", "source")
+    pool = views.newest(table(spark, d, "candidates"), "source")
     return scrub.json_column(pool, "source", "clean", lambda v: scrub.sanitise(v)).select("id", "clean")
 
 

@@ -46,7 +46,7 @@ def retrieve_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """The twelve candidates most relevant to a question, with their names, in order."""
-    pool = views.newest(table(spark, d, "candidates"))
+    pool = views.newest(table(spark, d, "candidates"), "name", "headline", "source")
     flat = json_column(pool, "source", "flat", lambda v: flatten(v))
     docs = flat.select("id", "name", retrieve.document_text(F.col("name"), F.col("headline"), F.col("flat")).alias("body"))
     best = retrieve.best(retrieve.scores(docs, "id", "body", _asked(spark, "security analyst with Kafka and incident response")), "id")
@@ -96,7 +96,7 @@ def sync_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_rank(spark: SparkSession, d: str) -> DataFrame:
     """The place of every candidate in the pool's order."""
-    pool = views.newest(table(spark, d, "candidates")).select("id", "name", "score")
+    pool = views.newest(table(spark, d, "candidates"), "name", "score")
     return order.ranked(pool, views.pool_order()).select("id", "score", "rank")
 
 
