@@ -165,9 +165,11 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def forms(found: DataFrame) -> DataFrame:
+def forms(found: DataFrame, known: DataFrame) -> DataFrame:
     """Every canonical rewriting of the entities of people and agencies: (form, way, entity, token).
 
+    ``known`` is (token, name): misspelt given names with the one they stand for.
+
     A form is the hash of the token that stayed and of what became of the other
     one, ``token``. ``way`` is plain (as written), nick, typo, initial or slip (a
     typo beside an initial).
@@ -178,13 +180,13 @@ def forms(found: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(at, 2_000)
                 out = []
-                for entity, kind, a, b, initial in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for entity, kind, a, b, initial, right_a, right_b in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                     if kind == "person":
-                        for token, other in ((a, b), (b, a)):
+                        for token, other, right in ((a, b, right_b), (b, a, right_a)):
                             out.append((_hash(f"{other}|{token}"), "plain", entity, token))
                             out.extend((_hash(f"{other}|{full}"), "nick", entity, token) for full in _NICK.get(token, ()))
                             if 4 <= len(token) <= LONGEST:
-                                short, meant = _shorter(token), (other, *_NICK.get(other, ()))
+                                short, meant = _shorter(token), (other, *_NICK.get(other, ()), *((right,) if right else ()))
                                 out.extend((_hash(f"{m}|{s}"), "typo", entity, token) for m in meant for s in short)
                                 out.extend((_hash(f"{i}|{s}"), "slip", entity, token) for i in {m[0] for m in meant} for s in short)
                             out.extend((_hash(f"{other}|{i}"), "initial", entity, token) for i in {token[0], *(n[0] for n in _NICK.get(token, ()))})
@@ -199,7 +201,24 @@ def forms(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["form", "way", "entity", "token"])
 
     one = found.select("entity", "kind", "a", "b", "initial").distinct()
-    return one.mapInArrow(run, _FORM)
+    for side in ("a", "b"):
+        one = one.join(known.select(F.col("token").alias(side), F.col("name").alias(f"right_{side}")), side, "left")
+    return one.select("entity", "kind", "a", "b", "initial", "right_a", "right_b").mapInArrow(run, _FORM)
+
+
+def misspelt(often: DataFrame) -> DataFrame:
+    """(token, name): tokens of few names that are one edit from just one established given name; ``often`` is (token, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_hash(s), t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if 4 <= len(t) <= LONGEST for s in _shorter(t)]
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["form", "token", "n"])
+
+    near = often.select("token", "n").mapInArrow(run, "form bigint, token string, n bigint")
+    given = near.filter(F.col("n") >= ESTABLISHED).select("form", F.col("token").alias("name"))
+    met = near.filter(F.col("n") < ESTABLISHED).select("form", "token").join(given, "form").filter(one_edit(F.col("token"), F.col("name")))
+    return met.groupBy("token").agg(F.min("name").alias("name"), F.count_distinct("name").alias("k")).filter("k = 1").select("token", "name")
 
 
 #: A token with so many different partners is an established given name, no misspelling of another.
@@ -214,11 +233,10 @@ def people(df: DataFrame, column: str = "name") -> DataFrame:
     names; an empty table gives no rows.
     """
     found = materialise(entities(df, column), "entities")
-    rewritten = materialise(forms(found), "forms")
-
     # in how many entities a token stands: given names in many, misspellings in one
     held = found.filter("kind in ('person', 'agency')").select("entity", F.explode(F.array("a", "b")).alias("token")).distinct()
-    often = held.groupBy("token").agg(F.count("*").alias("n"))
+    often = materialise(held.groupBy("token").agg(F.count("*").alias("n")), "tokens")
+    rewritten = materialise(forms(found, materialise(misspelt(often), "misspelt")), "forms")
 
     # a nickname with one family name is a link if just one of the names it stands for exists with it
     plain = rewritten.filter("way = 'plain'").select("form", F.col("entity").alias("to"))
