@@ -36,7 +36,7 @@ ORDERS = (44, 32, 23, 16, 11, 7, 4)
 #: A context decides if, besides the value itself, so many values end after it or it goes on so often.
 ENDS, GOES_ON = 2, 12
 #: What the last word being a piece of a frequent word adds to the log-odds, and the most that the length adds.
-PIECE, PILE = 8.0, 1.5
+PIECE, PILE = 12.0, 1.5
 #: Words kept as they are: those of at least this share of a column's values, at most ``VOCABULARY`` of them.
 SHARE, VOCABULARY = 1 / 2000, 4_000
 #: Bits of the Bloom filter, as a power of two.
