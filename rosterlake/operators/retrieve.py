@@ -149,3 +149,8 @@ def sync_plan(current: DataFrame, indexed: DataFrame, key: str = "id") -> DataFr
     then = indexed.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("then", F.lit(True))
     action = F.when(F.col("then").isNull(), "add").when(F.col("now").isNull(), "delete").otherwise("keep")
     return now.join(then, key, "full").select(key, action.alias("action"))
+
+
+def known_hits(hits: DataFrame, pool: DataFrame, key: str = "id") -> DataFrame:
+    """Hits of an outer index whose rows are still in the pool."""
+    return hits.join(pool.select(key).distinct(), key, "left_semi")

@@ -158,3 +158,23 @@ def delete(pool: DataFrame, gone: DataFrame) -> DataFrame:
 def export(pool: DataFrame) -> DataFrame:
     """(record): every source, ready to be imported again; sources that aren't JSON are left out."""
     return pool.filter(F.try_parse_json("source").isNotNull()).select("id", F.col("source").alias("record"))
+
+
+def seed(pool: DataFrame, records: list[dict], imported_at: int) -> DataFrame:
+    """Fixed records as rows of an empty pool; a pool that holds rows is refused."""
+    if not pool.isEmpty():
+        raise ValueError("the pool isn't empty")
+    spark = pool.sparkSession
+    rows = spark.createDataFrame([(i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(records)], "record_no int, record string")
+    return ingest(rows, ["record_no"], "record", imported_at)
+
+
+def storage(where: str, environment: str) -> tuple[str, bool]:
+    """(kind of storage, whether its rows may be lost): a folder of one machine is no place for production."""
+    kind = where.split(":", 2)[1] if where.startswith("jdbc:") else where.split("://", 1)[0] if "://" in where else "file"
+    return kind, kind in ("file", "sqlite") and environment == "production"
+
+
+def ready(spark: SparkSession) -> bool:
+    """Whether the session answers."""
+    return spark.sql("SELECT 1 AS one").first().one == 1
