@@ -207,7 +207,7 @@ def forms(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def misspelt(often: DataFrame) -> DataFrame:
-    """(token, name): tokens of few names that are one edit from just one established given name; ``often`` is (token, n)."""
+    """(token, name): tokens that are one edit from just one token of at least :data:`OFTENER` times their partners; ``often`` is (token, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,13 +216,13 @@ def misspelt(often: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["form", "token", "n"])
 
     near = often.select("token", "n").mapInArrow(run, "form bigint, token string, n bigint")
-    given = near.filter(F.col("n") >= ESTABLISHED).select("form", F.col("token").alias("name"))
-    met = near.filter(F.col("n") < ESTABLISHED).select("form", "token").join(given, "form").filter(one_edit(F.col("token"), F.col("name")))
+    given = near.filter(F.col("n") >= OFTENER).select("form", F.col("token").alias("name"), F.col("n").alias("m"))
+    met = near.join(given, "form").filter(F.col("m") >= OFTENER * F.col("n")).filter(one_edit(F.col("token"), F.col("name")))
     return met.groupBy("token").agg(F.min("name").alias("name"), F.count_distinct("name").alias("k")).filter("k = 1").select("token", "name")
 
 
-#: A token with so many different partners is an established given name, no misspelling of another.
-ESTABLISHED = 8
+#: A token with so many times the partners of one that is an edit away may be what that one is misspelt for. A ratio, as both counts grow with the data.
+OFTENER = 5
 
 
 def people(df: DataFrame, column: str = "name") -> DataFrame:
@@ -247,16 +247,17 @@ def people(df: DataFrame, column: str = "name") -> DataFrame:
     twins = short.join(plain.select("form"), "form", "left_anti").groupBy("form").agg(F.collect_set("entity").alias("all"))
     by_twin = twins.filter(F.size("all") > 1).select(F.explode("all").alias("entity"), F.array_min("all").alias("to")).filter("entity != to")
 
-    # one edit apart with the other token alike; the rarer of the two must be no established name
+    # one edit apart with the other token alike
     typo = rewritten.filter("way = 'typo'").select("form", "entity", "token")
     several = typo.groupBy("form").agg(F.min("token").alias("least"), F.max("token").alias("most")).filter("least != most").select("form")
     met = materialise(typo.join(several, "form", "left_semi").distinct(), "met").join(often, "token")
     usual = met.groupBy("form").agg(F.max(F.struct("n", "token", "entity")).alias("top"))
-    near = met.join(usual, "form").filter((F.col("entity") != F.col("top.entity")) & (F.col("n") < ESTABLISHED))
+    near = met.join(usual, "form").filter(F.col("entity") != F.col("top.entity"))
     near = near.select("entity", F.col("top.entity").alias("to"), "token", F.col("top.token").alias("wanted"), "n", F.col("top.n").alias("m"))
-    # a family name that has given names of its own isn't a misspelling of another family name
-    near = near.filter(one_edit(F.col("token"), F.col("wanted")) & ((F.col("n") == 1) | (F.col("m") >= ESTABLISHED)))
-    by_typo = near.select("entity", "to").distinct()
+    near = materialise(near.filter(one_edit(F.col("token"), F.col("wanted"))).distinct(), "near")
+    # a token with partners of its own, whether given or family name, is no misspelling unless the other has many times as many
+    shared = near.select("token", "wanted", "entity").distinct().groupBy("token", "wanted").agg(F.count("*").alias("shared"))
+    by_typo = near.join(shared, ["token", "wanted"]).filter((F.col("shared") == F.col("n")) | (F.col("m") >= OFTENER * F.col("n"))).select("entity", "to").distinct()
 
     first = materialise(components(by_nick.unionByName(by_twin).unionByName(by_typo), "entity", "to"), "people")
     people = found.select("entity", "kind").distinct().join(first, "entity", "left").withColumn("person", F.coalesce("component", "entity"))

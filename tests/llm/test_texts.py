@@ -243,3 +243,13 @@ def test_redacted_rows(spark, people):
 def test_name_groups(spark):
     df = spark.createDataFrame([("Karl Zembrov",), ("KARL ZEMBROV",), ("Zembrov, Karl",), ("Ida Moll",)], "name string")
     assert {tuple(r) for r in names.groups(df).collect()} == {(n, "KARL ZEMBROV", 2) for n in ("Karl Zembrov", "KARL ZEMBROV", "Zembrov, Karl")}
+
+
+def test_misspelt_names_of_many_partners(spark):
+    families = [a + b for a in ("Zem", "Kor", "Vas", "Dul", "Pet", "Mar", "Hol", "Wex") for b in ("brovin", "dlakas", "stighem", "quorran", "fennitz", "mullgard", "tarvik", "losswyn")]
+    rows = [f"Ismael {f}" for f in families] + [f"Ismeal {f}" for f in families[:10]]
+    rows += ["Robert Smithson", "Bob Smithson", "Anna Smithson", "Robert Smihtson", "Bob Smihtson", "Clara Bergmoor", "Klara Bergmoor", *(f"Clara {f}" for f in families[20:40]), *(f"Klara {f}" for f in families[40:60])]
+    got = {tuple(r) for r in names.variants(spark.createDataFrame([(n,) for n in rows], "name string")).collect()}
+    assert {(f"Ismael {f}", f"Ismeal {f}") for f in families[:10]} <= got  # ten partners are few beside 64
+    assert {("Robert Smihtson", "Robert Smithson"), ("Bob Smihtson", "Bob Smithson")} <= got  # no given name of its own
+    assert ("Clara Bergmoor", "Klara Bergmoor") not in got  # both have families of their own
