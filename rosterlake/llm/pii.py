@@ -76,22 +76,23 @@ _LEAD = re.compile(
     r"(?:\b(?:ask(?:ed)?|referred by|led by|worked (?:next to|with|for|under)|next to|manager (?:was|is)|reports? to|reported to|contact person:?|reference:?|referee:?|recommended by|introduced by|mentored by|hired by|spoke (?:to|with)|supervised by|signed by|met|thanks to))\s+$", re.I
 )
 _TRAIL = re.compile(r"^\s*(?:vouches|vouched|recommends?|about the handover|until the merger|on the rota|referred|introduced|mentored|supervised|can confirm|confirmed)", re.I)
-_HINT = re.compile(r"vouch|referred|\bled by\b|next to|manager|\bask\b|handover|\brota\b|merger|report|refere|recommend|introduc|mentor|spoke|supervis|\b(?:M[rsx]s?|Dr|Prof|Ing|Miss)\b\.?\s", re.I)
+_HINT = re.compile(r"vouch|referred|\bled by\b|next to|manager|\bask\b|handover|\brota\b|merger|report|refere|recommend|introduc|mentor|spoke|supervis|\bmet\b|thanks to|hired by|signed by|worked (?:with|for|under)\b|\basked\b|contact person|\b(?:M[rsx]s?|Dr|Prof|Ing|Miss|Mx|Herr|Frau|Sra?|Señora?|Mme|M|Dhr|Mevr|Sir|Dame)\b\.?\s", re.I)
+_CAPITAL = re.compile(_CAP)
 _ORG = re.compile(r"\b(?:Labs?|Systems|Media|Works|Freight|Studios?|Robotics|Analytics|Insurance|Logistics|Foods|Energy|Health|Retail|Networks|Payments|Materials|Mobility|Aerospace|Insight|University|Institute|College|GmbH|Ltd|Inc|Group|Partners|Services|Careers|Advisory|Selection|Resourcing|Associate|Practitioner|Expert|Street|Road|Avenue|Lane)\b")
 _STOP = frozenset(
     "the a an it they their in at on of most what since before during latency colleagues someone we room order ticket invoice build port commit iso req ping ran kept owned joined within copied onboarding background form lists "
-    "mail write best contact home send moved lives call mobile tel whatsapp ring direct line interview worked referred ask cv ref passport aadhaar pan dni ssn looking lead senior freelance".split()
+    "mail write best contact home send moved lives call mobile tel whatsapp ring direct line interview worked referred ask cv ref passport aadhaar pan dni ssn looking lead senior freelance met mit with avec con".split()
 )
 
-# Cheap tests, each true of every text in which the pattern it stands before can match.
+# Cheap tests, each true of every text in which the pattern it stands before can match; _HINT of every text with a cue or a title.
 _DIGIT = re.compile(r"\d")
 _AT_HINT = re.compile(r"@|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:at|AT)\s+[\w*-]+(?:\.|\s*[(\[{]\s?(?:dot|DOT)|\s+(?:dot|DOT)\s)")
 _NUMBER_HINT = re.compile(r"(?:\d[\s()./+-]{0,3}){6}|[A-Z]{2,5}\d{4}|[A-Z]{2} ?\d{2} ?\d{2}|\d{3}[-.]\d{2,3}[-.]")
 _STREET_HINT = re.compile(rf"{_STREET}\b|stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|laan|straat|plein|gracht|kade|\b(?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|Calle|C/|Avenida|Avda|Plaza|Paseo|Rua|Travessa|Praça|Via|Viale|Piazza|Corso)|улица|ул\.|проспект|пр\.")
 
 _AT_PARTS = ("@", " at ", " AT ", "at)", "at]", "at}", "AT)", "AT]", "AT}", "at )", "at ]", "AT )", "AT ]", "\xa0at", "\tat", "\nat")
-_HINT_PARTS = ("vouch", "refer", "led by", "next to", "manager", "ask", "handover", "rota", "merger", "report", "recommend", "introduc", "mentor", "spoke", "supervis")
-_TITLE_PARTS = ("Mr", "Ms", "Dr", "Prof", "Ing", "Miss", "Mx")
+_HINT_PARTS = ("vouch", "refer", "led by", "next to", "manager", "ask", "handover", "rota", "merger", "report", "recommend", "introduc", "mentor", "spoke", "supervis", "met", "thanks to", "hired by", "signed by", "worked ", "contact person")
+_TITLE_PARTS = ("Mr", "Ms", "Dr", "Prof", "Ing", "Miss", "Mx", "Herr", "Frau", "Sr", "Señor", "Mme", "M ", "M.", "Dhr", "Mevr", "Sir", "Dame")
 
 
 def _any(parts: tuple[str, ...], text: str) -> bool:
@@ -159,8 +160,12 @@ class Finder:
                 before = text[max(0, m.start() - 40) : m.start()]
                 street = bool(re.search(rf"\b{_STREET}\b|stra(?:ß|ss)e|weg|gasse|platz|rue|calle|c/|avenida|rua", m.group(), re.I))
                 yield self._out("street_address", m.span(), (1, 1 if street else 0, 1 if sort == "address" else (-1 if sort in ("link", "code", "money") else 0), 1 if re.search(r"(?:lives|address|office|home|contract to|moved from|send|at|am|in)\b[^.]{0,22}$", before, re.I) else 0, -1 if _COUNTED.match(text[m.end() :]) else 0), sort, m.group())
-        if sort == "person" or sort == "text" and (_any(_TITLE_PARTS, text) or _any(_HINT_PARTS, text.lower())) and _HINT.search(text):
-            yield from self._people(text, sort, taken, own_name)
+        if sort == "person":
+            yield from self._people(text, sort, taken, own_name, True)
+        elif sort == "text":
+            hint = (_any(_TITLE_PARTS, text) or _any(_HINT_PARTS, text.lower())) and _HINT.search(text) is not None
+            if hint or not self.given.isdisjoint([w.lower() for w in _CAPITAL.findall(text)]):
+                yield from self._people(text, sort, taken, own_name, hint)
 
     def _numbers(self, text: str, sort: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
         ids: list[tuple[int, int]] = []
@@ -186,7 +191,8 @@ class Finder:
             votes = (1 if formatted else 0, 1 if _PHONE_WORDS.search(before) else 0, 1 if sort == "phone" else (-1 if sort in ("money", "link", "code") else 0), -1 if against or _ID_WORDS.search(before) else 0, 1 if 10 <= digits <= 14 else -1)
             yield self._out("phone", m.span(), votes, sort, m.group())
 
-    def _people(self, text: str, sort: str, taken: list[tuple[int, int]], own_name: bool) -> Iterator[tuple]:
+    def _people(self, text: str, sort: str, taken: list[tuple[int, int]], own_name: bool, hint: bool) -> Iterator[tuple]:
+        """Without a hint in the text, matches that hold no given name have no vote for them and aren't proposed."""
         if own_name:
             return
         at = 0
@@ -205,7 +211,15 @@ class Finder:
             org = bool(_ORG.search(m.group()) or _ORG.match(after.lstrip()))
             lead = bool(_LEAD.search(before) or _TRAIL.match(after))
             shaped = bool(re.match(rf"[{_UP}]\.|{_CAP},", m.group())) and (lead or sort == "person")
-            votes = (1 if title else 0, 1 if known else (0 if title or shaped or sort == "person" else -1), 1 if lead else 0 if sort == "person" or title else -1, 1 if sort == "person" else 0, -1 if org else 0)
+            # without a cue, a given name in a list of words or in the name of something else says nothing
+            full = known and not org and not re.match(rf"{_CAP},", m.group())
+            if full and not (lead or title or sort == "person") and len(words[0]) > 1 and words[0].lower() not in self.given:
+                # the word that begins a sentence, before a given name
+                at = start + len(words[0])
+                continue
+            if not (hint or full or title or lead):
+                continue
+            votes = (1 if title else 0, 1 if known and (hint or full) else (0 if title or shaped or sort == "person" else -1), 1 if lead else 0 if sort == "person" or title or full else -1, 1 if sort == "person" else 0, -1 if org else 0)
             yield self._out("person_name", (start, end), votes, sort, m.group())
         if sort == "person" and not _PERSON.search(text) and re.search(r"[^\W\d_]{2}", text):
             # a name key whose value isn't shaped like a name in prose: lower case or one word

@@ -214,6 +214,13 @@ def test_items_are_found_and_others_are_not(people):
     assert not {"n", None, "bad"} & set(got)
 
 
+def test_names_without_the_usual_cues(spark, people):
+    texts = {"alone": "Worked alongside Hannah Quillter on the ledger.", "first": "Yesterday Hannah Quillter left", "signed": "Signed by R. Tessold in May", "list": "Uses Hannah, Verilog and Kafka Streams", "firm": "Years at Hannah Labs taught a lot"}
+    rows = spark.createDataFrame([(k, "x y", "", json.dumps({"notes": t}), "") for k, t in texts.items()] + [("head", "x y", texts["alone"], None, "")], people.schema)
+    got = {(r.id, r.place, r.kind) for r in pii.found_spans(people.unionByName(rows)).collect() if r.id in {*texts, "head"}}
+    assert got == {("alone", "source.notes", "person_name"), ("first", "source.notes", "person_name"), ("signed", "source.notes", "person_name"), ("head", "headline", "person_name")}
+
+
 def test_no_rows(people):
     assert pii.found_spans(people.limit(0)).count() == 0
 
