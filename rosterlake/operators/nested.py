@@ -37,6 +37,10 @@ class Shape:
         below = list(self.fields.values()) + ([self.item] if self.item else [])
         return "object" in self.kinds or any(x.has_object() for x in below)
 
+    def item_scalars(self) -> bool:
+        """Whether arrays here hold scalars, at any depth of arrays."""
+        return self.item is not None and (bool(self.item.kinds - {"object", "array"}) or self.item.item_scalars())
+
 
 def kind_of(value) -> str:
     """The JSON type of a parsed value."""
@@ -105,12 +109,13 @@ _NODE = "node_path string, parent_path string, kind string, ordinal int"
 
 def _explode(record: dict, keep: bool) -> Iterator[tuple]:
     """The objects below a record, level by level and without recursion, so any depth is fine."""
+    if keep:
+        yield "", None, "", None, _own(record)
     stack = [(v, k, "", k, None) for k, v in reversed(record.items()) if isinstance(v, (dict, list))]
     while stack:
         value, path, parent, kind, ordinal = stack.pop()
         if isinstance(value, dict):
-            own = json.dumps({k: v for k, v in value.items() if not _holds_object(v)}, ensure_ascii=False) if keep else None
-            yield path, parent, kind, ordinal, own
+            yield path, parent, kind, ordinal, _own(value) if keep else None
             for k, v in value.items():
                 if isinstance(v, (dict, list)):
                     stack.append((v, f"{path}.{k}", path, f"{kind}.{k}", None))
@@ -120,6 +125,35 @@ def _explode(record: dict, keep: bool) -> Iterator[tuple]:
                     stack.append((v, f"{path}[{i}]", parent, kind + ITEM, i))
 
 
+def _own(value: dict) -> str:
+    """The object's own scalars and arrays as JSON text; objects inside arrays, which are rows themselves, leave a null in their place."""
+    own = {}
+    for k, v in value.items():
+        if not _holds_object(v):
+            own[k] = v
+        elif isinstance(v, list):
+            rest, scalars = _without_objects(v)
+            if scalars:
+                own[k] = rest
+    return json.dumps(own, ensure_ascii=False)
+
+
+def _without_objects(items: list) -> tuple[list, bool]:
+    """(the array with null for each object, whether it holds scalars), without recursion."""
+    top: list = []
+    stack, scalars = [(items, top)], False
+    while stack:
+        old, new = stack.pop()
+        for x in old:
+            if isinstance(x, list):
+                new.append([])
+                stack.append((x, new[-1]))
+            else:
+                new.append(None if isinstance(x, dict) else x)
+                scalars = scalars or not isinstance(x, dict)
+    return top, scalars
+
+
 def _holds_object(value) -> bool:
     stack = [value]
     while stack:
@@ -137,7 +171,8 @@ def nodes(df: DataFrame, key: str, source: str, keep: bool = False) -> DataFrame
     Columns: the key, ``node_path``, ``parent_path`` ('' for the record), the
     ``kind`` (the path with ``[]`` for places), the ``ordinal`` in the nearest
     array (null outside arrays) and, with ``keep``, the object's scalar fields
-    as JSON text in ``node``.
+    as JSON text in ``node``; then the record itself has a row too, with the
+    path and kind '' and no parent.
 
     A source that is null, isn't JSON, or isn't an object gives no rows; where
     a key is repeated the last value holds; a null key stays null; repeated
@@ -184,8 +219,9 @@ def child_tables(df: DataFrame, key: str, source: str) -> dict[str, DataFrame]:
 
     Each has the key, ``node_path``, ``parent_path`` and ``ordinal``, then one
     column per scalar field of that kind, sorted by name. A field whose kinds
-    conflict gets one column per kind, ``name__kind``; arrays of scalars stay
-    as JSON text in ``name__array``. Field columns begin with ``f_``, so they
+    conflict gets one column per kind, ``name__kind``; arrays that hold scalars
+    stay as JSON text in ``name__array``, with null for each object among them.
+    The record itself is the kind '', if it has such columns. Field columns begin with ``f_``, so they
     can't clash with the keys.
     """
     shape = infer_shape(df, source)
@@ -193,7 +229,7 @@ def child_tables(df: DataFrame, key: str, source: str) -> dict[str, DataFrame]:
     found: dict[str, dict[str, Shape]] = {}
 
     def gather(node: Shape, kind: str) -> None:
-        if kind and "object" in node.kinds:
+        if "object" in node.kinds:
             found[kind] = node.fields
         for k, s in node.fields.items():
             gather(s, f"{kind}.{k}" if kind else k)
@@ -210,8 +246,10 @@ def child_tables(df: DataFrame, key: str, source: str) -> dict[str, DataFrame]:
             for k in seen:
                 label = f"f_{name}" if len(seen) == 1 else f"f_{name}__{k}"
                 columns.append(typed(value, k).alias(label))
-            if "array" in s.kinds and not s.has_object():
+            if "array" in s.kinds and (s.item_scalars() or not s.has_object()):
                 columns.append(F.to_json(F.try_variant_get(value, "$", "array<variant>")).alias(f"f_{name}__array"))
+        if kind == "" and not columns:
+            continue
         tables[kind] = every.filter(F.col("kind") == kind).select(key, "node_path", "parent_path", "ordinal", *columns)
     return tables
 

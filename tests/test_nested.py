@@ -55,6 +55,13 @@ def test_child_tables_link_to_parents(spark):
     assert [r.f_firm for r in tables["jobs"].collect()] == ["Z"]
 
 
+def test_child_tables_keep_every_scalar(spark):
+    rows = [("a", '{"name": "A", "skills": ["x", "y"], "m": {"c": [[1, {"l": 3}], ["z"]], "stack": ["p"]}}'), ("b", '{"name": "B", "m": {"stack": ["q", {"w": 1}]}}')]
+    tables = nested.child_tables(_frame(spark, rows), "id", "source")
+    assert sorted((r.id, r.node_path, r.f_name, r.f_skills__array) for r in tables[""].collect()) == [("a", "", "A", '["x","y"]'), ("b", "", "B", None)]
+    assert sorted((r.id, r.f_c__array, r.f_stack__array) for r in tables["m"].collect()) == [("a", '[[1,null],["z"]]', '["p"]'), ("b", None, '["q",null]')]
+
+
 def test_empty_table(spark):
     empty = _frame(spark).limit(0)
     assert nested.nodes(empty, "id", "source").count() == 0
