@@ -1,22 +1,25 @@
 """Duplicates of new batches against all history, from an index of hashes.
 
-The index holds two bucketed tables. ``contents`` has a row per distinct
-content: a hash of the record's bag of words, its number of words and the first
-place it was seen. ``paragraphs`` has a row per content and paragraph hash.
-Both are bucketed by hash, so a batch is checked by bucket-local joins, and
-accepting it appends its hashes; no record of the history is hashed again.
-
-Full copies agree in the content hash. Near copies share paragraphs. For every
-content the paragraphs are ordered from the rarest on, and those that hold the
-first ``PREFIX`` of its words are kept. Two contents meet where they share two
-kept paragraphs: each pair of kept paragraphs is hashed to a key and the keys
-are joined, so that one paragraph which many records share brings nobody
-together. (In a record with more than 33 kept paragraphs each is paired with the
-next 32 in the order of their hashes, so very long records stay linear; two
-that are alike have many such pairs in common.) Contents that meet are checked exactly over their words.
-
-Over the records of sf0.01 this refuses what brute force refuses; over sf0.1 a
-prefix of 0.9 refuses the same records.
+The index is a folder of tables that stays: it is opened by its path, asked
+about a batch, and takes the batch's hashes in; nothing of the history is read
+or hashed again, for all that a check needs is in the tables:
+
+- ``contents``: a row per distinct content with the hash of its bag of words,
+  its paragraph hashes with the words of each, and a hash for every word;
+- ``heads``, bucketed by paragraph hash: the paragraphs that a content is found by;
+- ``bands``, bucketed by key: the bands of its min-wise sketch.
+
+A full copy agrees in the content hash. For the rest each content's paragraphs
+are put in one order, the same for all contents: paragraphs that many contents
+share last, of the others the longest first. If the paragraphs that two
+contents share cover the share ``least`` of their words, the first shared
+paragraph of either is among those with at most 1 - ``least`` of its words ahead
+of them: its heads. So a join of heads misses no such pair, and the coverage is
+then summed over all paragraphs of both. A coverage of ``least`` proves the
+similarity; where edits are spread over the paragraphs it can't, and pairs that
+met by a head or by a band of the sketch are checked exactly, word by word.
+Bands find a pair of similarity 0.7 with probability 0.96, of 0.75 with 0.993,
+of 0.8 with 0.9995; the paragraphs come on top of that.
 """
 
 from __future__ import annotations
@@ -27,127 +30,226 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm import neardup, words
 from rosterlake.operators.drift import records
 from rosterlake.session import _delete, materialise, shared_dir
 
-PREFIX = 0.7
-BUCKETS = 32
+#: A paragraph that more than this share of the contents have as a head is put last; so many there can be at most, however large the history.
+OFTEN = 1 / 20_000
+#: Most of 64 bits of the sketch in which two contents that meet by a band may differ; 0.998 of pairs of similarity 0.7 do in fewer.
+RADIUS = 18
+#: A key that more contents of the index have is first tried with ``LEADERS`` of them; what those don't settle meets all the others.
+HOT, LEADERS = 512, 16
 
-_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, place string"
+_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, low bigint, bands array<bigint>, place string"
+_BUCKETED = {"heads": "key bigint, content bigint, n_words int", "bands": "key bigint, content bigint, n_words int, low bigint"}
+_NAMES = [x.split()[0] for x in _HASHED.split(", ")]
 
 
 def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
-    """(content, n_words, hashes, sizes, place) of each record with words enough; place says where to find it.
+    """(content, n_words, hashes, sizes, tokens, low, bands, place) of each record with words enough; place says where to find it.
 
-    ``hashes`` are its distinct paragraphs and ``sizes`` the words of each. A
-    text that is null, isn't a JSON object or holds under 25 words gives no row.
+    ``hashes`` are its distinct paragraphs and ``sizes`` the words of each,
+    ``tokens`` a hash of every word, ``low`` and ``bands`` its sketch. A text
+    that is null, isn't a JSON object or holds under 25 words gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = words.Hasher()
         for batch in batches:
-            keep, content, n, hashes, sizes = [], [], [], [], []
-            for i, body in enumerate(batch.column(0).to_pylist()):
-                record = words.parse(body)
-                if record is None:
+            for at, parsed in words.chunks(batch.column(0).to_pylist()):
+                got = words.bags(parsed, paragraphs=True)
+                if got is None:
                     continue
-                pieces = words.paragraphs(record)
-                bag = words.tokens_of([w for piece in pieces for w in piece], hasher)
-                if len(bag) < words.FEWEST_WORDS:
-                    continue
-                found: dict[int, int] = {}
-                for piece in pieces:
-                    h = xxhash.xxh3_64_intdigest(" ".join(piece))
-                    found[h] = found.get(h, 0) + len(piece)
-                keep.append(i)
-                content.append(words.content_hash(bag))
-                n.append(len(bag))
-                hashes.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
-                sizes.append(np.fromiter(found.values(), np.int32, len(found)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(content, pa.int64()), pa.array(n, pa.int32()), pa.array(hashes, pa.list_(pa.int64())),
-                    pa.array(sizes, pa.list_(pa.int32())), batch.column(1).take(pa.array(keep, pa.int32())),
-                ],
-                ["content", "n_words", "hashes", "sizes", "place"],
-            )
+                hashes, sizes, first = got.paragraphs
+                low, _, keys = neardup.sketch_of(neardup.minima(got.tokens, got.starts))
+                pieces = pa.array(np.append(first, len(hashes)), pa.int32())
+                bag = pa.array(np.append(got.starts, len(got.tokens)), pa.int32())
+                banded = pa.array(np.arange(0, keys.size + 1, neardup.BANDS), pa.int32())
+                folded = (got.tokens ^ (got.tokens >> np.uint64(32))).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(got.contents), pa.array(got.sizes.astype(np.int32)), pa.ListArray.from_arrays(pieces, pa.array(hashes)),
+                        pa.ListArray.from_arrays(pieces, pa.array(sizes)), pa.ListArray.from_arrays(bag, pa.array(folded)), pa.array(low),
+                        pa.ListArray.from_arrays(banded, pa.array(keys.reshape(-1))), batch.column(1).take(pa.array(got.rows + at)),
+                    ],
+                    _NAMES,
+                )
 
     return df.select(F.col(text).alias("s"), F.col(place).cast("string").alias("p")).mapInArrow(run, _HASHED)
 
 
+def heads(batch: DataFrame, often: np.ndarray, least: float) -> DataFrame:
+    """(key, content, n_words) of the paragraphs by which each content is found; ``often`` are the hashes put last, sorted."""
+    shared = batch.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            content, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+            hashes, sizes = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy()
+            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy())
+            last = np.isin(hashes, shared.value)
+            order = np.lexsort((hashes, -sizes, last, owner))
+            hashes, sizes, owner = hashes[order], sizes[order], owner[order]
+            before = np.cumsum(sizes) - sizes
+            first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+            ahead = before - np.maximum.accumulate(np.where(first, before, 0))
+            head = ahead <= (1 - least) * n[owner] + 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[head]), pa.array(content[owner[head]]), pa.array(n[owner[head]])], ["key", "content", "n_words"])
+
+    return batch.select("content", "n_words", "hashes", "sizes").mapInArrow(run, _BUCKETED["heads"])
+
+
 class HashIndex:
-    """Bucketed tables of the hashes of everything accepted so far."""
+    """Tables of the hashes of everything accepted so far, in a folder.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.name = spark, f"rosterlake_{uuid.uuid4().hex[:12]}"
-        self.path = f"{shared_dir(spark).rstrip('/')}/rosterlake/{self.name}"
-        self.filled = False
-        atexit.register(_delete, spark, self.path)
+    With a ``path`` the index stays there and is opened again by it, by any
+    session; without one it is made in the shared folder and goes at exit.
+    ``buckets`` is how many buckets its tables have; it is stored with a new
+    index, and where the index exists that number holds. ``least`` is the
+    similarity it is made for.
+    """
 
-    def append(self, batch: DataFrame) -> None:
-        """Add the hashes of :func:`hashed` rows. Of equal contents one is added, and none that the index has."""
-        batch = materialise(batch, "hashed")
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, least: float = words.SIMILAR):
+        self.spark, self.name = spark, f"rosterlake_{uuid.uuid4().hex[:12]}"
+        self.path = path.rstrip("/") if path else f"{shared_dir(spark).rstrip('/')}/rosterlake/{self.name}"
+        if not path:
+            atexit.register(_delete, spark, self.path)
+        atexit.register(self.close)
+        made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path + "/made")
+        self.filled = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made)
+        self._open: set[str] = set()
+        if self.filled:
+            self.buckets, self.least = spark.read.parquet(self.path + "/made").select("buckets", "least").first()
+            self.often = self._often()
+        else:
+            self.buckets, self.least, self.often = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), least, np.array([], np.int64)
+
+    def close(self) -> None:
+        """Forget the tables' names in the catalog; the files stay."""
+        try:
+            for part in self._open:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
+        except Exception:  # the session may be gone already
+            pass
+        self._open = set()
+
+    def _often(self) -> np.ndarray:
+        return np.sort(self.spark.read.schema("key bigint").parquet(self.path + "/often").toArrow().column("key").to_numpy())
+
+    def _start(self, batch: DataFrame) -> None:
+        """Which paragraphs are put last is settled by the first batch, as heads must mean the same ever after."""
+        n = batch.count()
+        counts = heads(batch, self.often, self.least).groupBy("key").agg(F.count("*").alias("n"))
+        counts.filter(F.col("n") > F.lit(max(2.0, n * OFTEN))).select("key").write.parquet(self.path + "/often")
+        self.often = self._often()
+        self.spark.createDataFrame([(self.buckets, self.least)], "buckets int, least double").coalesce(1).write.parquet(self.path + "/made")
+
+    def append(self, batch: DataFrame) -> DataFrame:
+        """Add the hashes of :func:`hashed` rows, written out already. Of equal contents one is added, and none that the index has.
+
+        Returns the rows added. Only the batch is read, and the column of contents of the index.
+        """
         if self.filled:
             batch = materialise(batch.join(self.contents().select("content"), "content", "left_anti"), "fresh")
         several = materialise(batch.groupBy("content").count().filter("count > 1").select("content"), "several")
         few = several.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
         repeated = F.broadcast(several) if few else several
         once = batch.join(repeated, "content", "left_anti").unionByName(batch.join(repeated, "content", "left_semi").dropDuplicates(["content"]))
-        self._write(once.select("content", "place"), "contents", "content")
-        one = once.select("content", "n_words", F.explode(F.arrays_zip("hashes", "sizes")).alias("p"))
-        self._write(one.select(F.col("p.hashes").alias("hash"), F.col("p.sizes").alias("size"), "content", "n_words"), "paragraphs", "hash")
+        if not self.filled:
+            self._start(once)
+        once.select("content", "n_words", "hashes", "sizes", "tokens", "place").write.mode("append").option("compression", "zstd").parquet(self.path + "/contents")
+        self._write(heads(once, self.often, self.least), "heads")
+        self._write(once.select(F.explode("bands").alias("key"), "content", "n_words", "low"), "bands")
         self.filled = True
-
-    def _write(self, df: DataFrame, part: str, by: str) -> None:
-        (
-            df.repartition(BUCKETS, by).write.mode("append").format("parquet").option("path", f"{self.path}/{part}")
-            .option("compression", "zstd").bucketBy(BUCKETS, by).saveAsTable(f"{self.name}_{part}")
-        )
+        return once
+
+    def _write(self, df: DataFrame, part: str) -> None:
+        by = _BUCKETED[part].split()[0]
+        name = self._named(part)
+        df.repartition(self.buckets, by).write.mode("append").format("parquet").bucketBy(self.buckets, by).saveAsTable(name)
+
+    def _named(self, part: str) -> str:
+        """The table's name in the catalog, which it has while the index is open."""
+        name = f"{self.name}_{part}"
+        if part not in self._open:
+            by = _BUCKETED[part].split()[0]
+            self.spark.sql(f"CREATE TABLE {name} ({_BUCKETED[part]}) USING parquet OPTIONS (path '{self.path}/{part}', compression 'zstd') CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS")
+            self._open.add(part)
+        return name
 
     def contents(self) -> DataFrame:
-        """(content, place) of everything appended."""
-        return self.spark.table(f"{self.name}_contents")
-
-    def paragraphs(self) -> DataFrame:
-        """(hash, size, content, n_words); a content appended again may repeat its rows."""
-        return self.spark.table(f"{self.name}_paragraphs")
-
-    def kept(self, asked: DataFrame) -> DataFrame:
-        """(content, n_words, hashes): the rarest paragraphs of each content among those that ``asked`` has too.
-
-        The paragraphs of the asked records pick the rows of the index that
-        matter, bucket by bucket. How many contents hold each is counted within
-        the buckets, with partial sums first, so a paragraph that all records
-        share costs one row per task. Paragraphs that nobody shares with an
-        asked record can't bring two together; just their words are counted.
-        """
-        wanted = asked.select(F.explode("hashes").alias("hash")).distinct()
-        rows = self.paragraphs().join(wanted.repartition(BUCKETS, "hash"), "hash", "left_semi")
-        often = rows.groupBy("hash").agg(F.count("*").alias("often")).filter("often > 1")
-        common = rows.join(often, "hash").select("content", "hash", "size", "n_words", "often")
-        order = Window.partitionBy("content").orderBy("often", "hash")
-        ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.sum("size").over(Window.partitionBy("content"))
-        ranked = common.withColumn("ahead", ahead + F.col("n_words") - inside).filter(F.col("ahead") < PREFIX * F.col("n_words"))
-        listed = ranked.groupBy("content").agg(F.first("n_words").alias("n_words"), F.sort_array(F.collect_list("hash")).alias("hashes"))
-        return listed.filter(F.size("hashes") > 1)
-
-    def meeting(self, asked: DataFrame) -> DataFrame:
-        """(asked, other): contents of ``asked`` that share two rare paragraphs with another content.
-
-        Contents whose numbers of words alone rule out the similarity don't meet.
+        """(content, n_words, hashes, sizes, tokens, place) of everything appended."""
+        return self.spark.read.schema(_HASHED).parquet(self.path + "/contents").drop("low", "bands")
+
+    def keyed(self, part: str) -> DataFrame:
+        """A bucketed table: ``heads`` (key, content, n_words) or ``bands`` (key, content, n_words, low)."""
+        return self.spark.table(self._named(part))
+
+    def asked(self, batch: DataFrame) -> dict[str, DataFrame]:
+        """The batch's own rows of ``heads`` and ``bands``."""
+        own = batch.dropDuplicates(["content"])
+        return {
+            "heads": heads(own, self.often, self.least),
+            "bands": own.select(F.explode("bands").alias("key"), "content", "n_words", "low"),
+        }
+
+    def _fits(self, part: str) -> F.Column:
+        size = F.least("n", "n_words") >= self.least * F.greatest("n", "n_words")
+        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("low"))) <= RADIUS if part == "bands" else F.lit(True)
+        return size & near & (F.col("asked") != F.col("other"))
+
+    def meeting(self, asked: dict[str, DataFrame], leaders: bool = False, among: DataFrame | None = None) -> DataFrame:
+        """(asked, other): contents that share a head or a band and whose sizes, and sketches, allow the similarity.
+
+        With ``leaders`` a key that is hot brings just its first contents; with
+        ``among``, (content), only those of the asked contents meet anything.
         """
-        after = F.expr("flatten(transform(hashes, (x, i) -> transform(slice(hashes, i + 2, 32), y -> xxhash64(x, y))))")
-        keys = materialise(self.kept(asked).select("content", "n_words", F.explode(after).alias("key")), "keys")
-        mine = keys.join(asked.select("content").distinct(), "content", "left_semi").select("key", F.col("content").alias("asked"), F.col("n_words").alias("n"))
-        met = mine.join(keys.select("key", F.col("content").alias("other"), "n_words"), "key").filter("asked != other")
-        fits = F.least("n", "n_words") >= words.SIMILAR * F.greatest("n", "n_words")
-        return met.filter(fits).select("asked", "other").distinct()
+        both = None
+        for part, mine in asked.items():
+            if among is not None:
+                mine = mine.join(among, "content", "left_semi")
+            mine = mine.select("key", F.col("content").alias("asked"), F.col("n_words").alias("n"), *([F.col("low").alias("sketch")] if part == "bands" else []))
+            theirs = self.keyed(part).withColumnRenamed("content", "other")
+            if leaders and self.hot[part] is not None:
+                columns = [c for c in theirs.columns if c != "key"]
+                classes = theirs.join(self.hot[part], "key", "left_semi").groupBy("key", F.pmod("other", F.lit(LEADERS)))
+                first = classes.agg(F.min(F.struct("other", *[c for c in columns if c != "other"])).alias("f")).select("key", "f.*").select("key", *columns)
+                theirs = theirs.join(self.hot[part], "key", "left_anti").unionByName(first)
+            met = mine.join(theirs, "key").filter(self._fits(part)).select("asked", "other")
+            both = met if both is None else both.unionByName(met)
+        return materialise(both.distinct(), "met")
+
+    def find_hot(self, asked: dict[str, DataFrame]) -> bool:
+        """Note the keys of ``asked`` that more than ``HOT`` contents of the index have; whether there are any."""
+        self.hot = {}
+        for part, mine in asked.items():
+            rows = self.keyed(part).select("key").join(mine.select("key").distinct(), "key", "left_semi")
+            hot = materialise(rows.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+            several = hot.limit(neardup.BROADCAST_ROWS + 1).count()
+            self.hot[part] = None if not several else F.broadcast(hot) if several <= neardup.BROADCAST_ROWS else hot
+        return any(h is not None for h in self.hot.values())
+
+    def similar(self, met: DataFrame) -> DataFrame:
+        """(asked, other) of the pairs that are similar: by the coverage of shared paragraphs, else by their words."""
+        ends = materialise(met.select(F.col("asked").alias("content")).union(met.select(F.col("other").alias("content"))).distinct(), "ends")
+        few = ends.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
+        held = materialise(self.contents().drop("place").join(F.broadcast(ends) if few else ends, "content", "left_semi"), "held")
+
+        def side(name: str, mark: str) -> DataFrame:
+            return held.select(F.col("content").alias(name), *[F.col(c).alias(c + mark) for c in ("n_words", "hashes", "sizes", "tokens")])
+
+        pairs = met.join(side("asked", "_a"), "asked").join(side("other", "_b"), "other")
+        shared = F.array_intersect("hashes_a", "hashes_b")
+        covered = F.aggregate(
+            shared, F.lit(0), lambda s, h: s + F.least(F.element_at("sizes_a", F.array_position("hashes_a", h).cast("int")), F.element_at("sizes_b", F.array_position("hashes_b", h).cast("int")))
+        )
+        coverage = covered / (F.col("n_words_a") + F.col("n_words_b") - covered)
+        alike = (coverage >= self.least) | (neardup.share_in_common(F.col("tokens_a"), F.col("tokens_b")) >= self.least)
+        return materialise(pairs.filter(alike).select("asked", "other"), "similar")
 
 
 def pending_records(requests: DataFrame) -> DataFrame:
@@ -158,57 +260,53 @@ def pending_records(requests: DataFrame) -> DataFrame:
     return records(empty, once).join(once.select("request_id", "received_at"), "request_id")
 
 
-def refused(candidates: DataFrame, requests: DataFrame, least: float = words.SIMILAR) -> DataFrame:
-    """(request_id, record_no) of pending records that repeat a candidate's or an earlier pending record.
+def refused(candidates: DataFrame | None, requests: DataFrame, index: HashIndex | None = None) -> DataFrame:
+    """(request_id, record_no) of pending records that repeat a stored or an earlier pending record; then all of them are accepted.
 
-    Earlier means by received_at, then record_no, then request_id. Records that
-    are null, aren't JSON objects or hold under 25 words neither are refused
-    nor refuse others. Of equal records the first stays, unless history has it.
-    Requests delivered twice count once; other columns don't matter, whatever
-    their names; empty tables give no rows.
-    """
-    index = HashIndex(candidates.sparkSession)
-    index.append(hashed(candidates.filter(F.col("id").isNotNull()), "source", "id"))
+    Stored is what ``index`` holds and what ``candidates`` adds to it; with an
+    index that holds the history already, ``candidates`` is None and nothing
+    but the batch is hashed. Afterwards the index holds the batch too. Earlier
+    means by received_at, then record_no, then request_id.
 
+    Records that are null, aren't JSON objects or hold under 25 words neither
+    are refused nor refuse others. Of equal records the first stays, unless
+    history has it. Requests delivered twice count once; other columns don't
+    matter, whatever their names; empty tables give no rows.
+    """
+    index = index or HashIndex(requests.sparkSession)
+    if candidates is not None:
+        index.append(materialise(hashed(candidates.filter(F.col("id").isNotNull()), "source", "id"), "hashed"))
     # the place in the order of arrival: microseconds, then record_no; request_id breaks what ties are left
-    at = F.unix_micros(F.col("received_at").cast("timestamp")).alias("at")
-    pending = pending_records(requests).select(F.monotonically_increasing_id().cast("string").alias("key"), "request_id", "record_no", at, "record")
-    pending = materialise(pending, "unpacked")
-    hashes = materialise(hashed(pending, "record", "key"), "pending")
-    # contents of history: those whose place is the id of a candidate
-    stored_in = index.contents().select("content", F.col("place").alias("id"), F.lit(True).alias("stored"))
-    stored_in = materialise(stored_in, "history")
-    index.append(hashes)
-    keys = pending.select(F.col("key").alias("place"), "request_id", "record_no", "at")
-
-    new = materialise(hashes.select("content", "place").join(keys, "place").drop("place"), "new")
+    at = F.unix_micros(F.col("received_at").cast("timestamp"))
+    place = F.concat_ws(" ", at.cast("string"), F.col("record_no").cast("string"), F.col("request_id").cast("string"))
+    batch = materialise(hashed(pending_records(requests).select("record", place.alias("place")), "record", "place"), "batch")
+    order = F.split("place", " ").cast("array<bigint>")
+    new = batch.select("content", order.alias("place")).select("content", F.col("place")[0].alias("at"), F.col("place")[1].cast("int").alias("record_no"), F.col("place")[2].alias("request_id"))
     order = F.struct("at", "record_no", "request_id")
     firsts = new.groupBy("content").agg(F.min(order).alias("first"))
-    known = materialise(firsts.join(stored_in.drop("id"), "content", "left"), "firsts")
-
-    near = materialise(index.meeting(hashes), "near")
-    ends = near.select(F.col("asked").alias("content")).union(near.select(F.col("other").alias("content"))).distinct()
-    bags = materialise(_bags(candidates, pending, stored_in, hashes, ends), "bags")
-    a = bags.select(F.col("content").alias("asked"), F.col("tokens").alias("ta"))
-    b = bags.select(F.col("content").alias("other"), F.col("tokens").alias("tb"))
-    similar = near.join(a, "asked").join(b, "other").filter(neardup.share_in_common(F.col("ta"), F.col("tb")) >= least).select("asked", "other")
-    # the earliest record like a content: history counts as before everything
-    theirs = similar.join(known.select(F.col("content").alias("other"), "first", "stored"), "other", "left")
-    stored = F.col("first").isNull() | F.coalesce(F.col("stored"), F.lit(False))
-    best = theirs.groupBy(F.col("asked").alias("content")).agg(F.max(stored).alias("like_stored"), F.min("first").alias("like_first"))
-    judged = new.join(known, "content").join(best, "content", "left")
+    stored = index.contents().select("content", F.lit(True).alias("stored")) if index.filled else None
+    known = firsts.join(stored.distinct(), "content", "left") if stored is not None else firsts.withColumn("stored", F.lit(None).cast("boolean"))
+    known = materialise(known, "known")
+
+    index.append(batch)
+    asked = {part: materialise(rows, part) for part, rows in index.asked(batch).items()}
+
+    def judged(similar: DataFrame) -> DataFrame:
+        """(content, like_stored, like_first): history counts as before everything."""
+        theirs = similar.join(known.select(F.col("content").alias("other"), "first", "stored"), "other", "left")
+        old = F.col("first").isNull() | F.coalesce(F.col("stored"), F.lit(False))
+        return theirs.groupBy(F.col("asked").alias("content")).agg(F.max(old).alias("like_stored"), F.min("first").alias("like_first"))
+
+    hot = index.find_hot(asked)
+    similar = index.similar(index.meeting(asked, leaders=hot))
+    if hot:
+        # whoever repeats a stored record, or one before its own first, is settled; the others meet all that have their hot keys
+        settled = judged(similar).join(known, "content").filter(F.col("like_stored") | (F.col("like_first") < F.col("first")))
+        open_ones = materialise(known.filter(F.col("stored").isNull()).select("content").join(settled.select("content"), "content", "left_anti"), "open")
+        similar = similar.unionByName(index.similar(index.meeting(asked, among=open_ones)))
+    everyone = new.join(known, "content").join(judged(similar), "content", "left")
     earlier = (
         F.coalesce("stored", F.lit(False)) | F.coalesce("like_stored", F.lit(False))
         | (order > F.col("first")) | F.coalesce(order > F.col("like_first"), F.lit(False))
     )
-    return judged.filter(earlier).select("request_id", "record_no").distinct()
-
-
-def _bags(candidates: DataFrame, pending: DataFrame, stored: DataFrame, hashes: DataFrame, ends: DataFrame) -> DataFrame:
-    """(content, tokens) of the contents in ``ends``; only the rows that the index names for them are read as records."""
-    ids = materialise(stored.join(ends, "content", "left_semi").select("id").distinct(), "ids")
-    few = ids.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
-    old = candidates.select("id", "source").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    keys = hashes.join(ends, "content", "left_semi").select(F.col("place").alias("key")).distinct()
-    new = pending.select("key", "record").join(keys, "key", "left_semi").select(F.col("key").alias("id"), F.col("record").alias("source"))
-    return neardup.token_table(old.unionByName(new), "id", "source").select("content", "tokens").dropDuplicates(["content"])
+    return everyone.filter(earlier).select("request_id", "record_no").distinct()

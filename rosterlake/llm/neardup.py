@@ -80,32 +80,23 @@ def sketches(df: DataFrame, key: str, source: str) -> DataFrame:
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = words.Hasher()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(at, 2_000)
-                ids, bags = [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    record = words.parse(text)
-                    if record is not None and i is not None:
-                        bag = words.word_tokens(record, hasher)
-                        if len(bag) >= words.FEWEST_WORDS:
-                            ids.append(i)
-                            bags.append(bag)
-                if not ids:
+        for batch in batches:
+            for at, records in words.chunks(batch.column(1).to_pylist()):
+                got = words.bags(records)
+                if got is None:
                     continue
-                sizes = np.array([len(b) for b in bags])
-                low, high, keys = sketch_of(minima(np.concatenate(bags), np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-                offsets = pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS), pa.int32())
+                low, high, keys = sketch_of(minima(got.tokens, got.starts))
+                offsets = pa.array(np.arange(0, len(got.rows) * BANDS + 1, BANDS), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.string()), pa.array([words.content_hash(b) for b in bags], pa.int64()), pa.array(sizes, pa.int32()),
+                        batch.column(0).take(pa.array(got.rows + at)), pa.array(got.contents), pa.array(got.sizes.astype(np.int32)),
                         pa.array(low), pa.array(high), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
                     ],
                     ["id", "content", "n_words", "low", "high", "bands"],
                 )
 
-    return df.select(F.col(key).cast("string").alias("id"), F.col(source).alias("s")).mapInArrow(sketch, _SKETCH)
+    held = df.filter(F.col(key).isNotNull())
+    return held.select(F.col(key).cast("string").alias("id"), F.col(source).alias("s")).mapInArrow(sketch, _SKETCH)
 
 
 def _planes(low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
@@ -283,20 +274,13 @@ def token_table(df: DataFrame, key: str, source: str) -> DataFrame:
     """(id, content, tokens) of each record with words enough."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = words.Hasher()
         for batch in batches:
-            keep, content, bags = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                record = words.parse(text)
-                if record is not None:
-                    bag = words.word_tokens(record, hasher)
-                    if len(bag) >= words.FEWEST_WORDS:
-                        keep.append(i)
-                        content.append(words.content_hash(bag))
-                        bags.append(bag.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int32())), pa.array(content, pa.int64()), pa.array(bags, pa.list_(pa.int64()))], ["id", "content", "tokens"]
-            )
+            for at, records in words.chunks(batch.column(1).to_pylist()):
+                got = words.bags(records)
+                if got is not None:
+                    offsets = pa.array(np.append(got.starts, len(got.tokens)), pa.int32())
+                    bags = pa.ListArray.from_arrays(offsets, pa.array(got.tokens.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got.rows + at)), pa.array(got.contents), bags], ["id", "content", "tokens"])
 
     return df.select(F.col(key).cast("string").alias("id"), F.col(source).alias("s")).mapInArrow(tokens, "id string, content bigint, tokens array<bigint>")
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -32,7 +33,7 @@ def _edited(rng, record, share):
 
 
 def _bag(record):
-    return Counter(words.WORD.findall("\n".join(words.strings(record)).lower()))
+    return Counter(re.findall(r"[^\W_]+", "\n".join(words.strings(record)).lower()))
 
 
 def _alike(a, b):
@@ -132,6 +133,63 @@ def test_refused_without_history_or_requests(spark, records):
     assert incremental.refused(_frame(spark, records[:5]), requests.limit(0)).count() == 0
 
 
+REQUESTS = "request_id long, feed string, received_at timestamp, status string, candidates string"
+
+
+def _request(spark, number, records):
+    return spark.createDataFrame([(number, "f", datetime(2024, 1, 1) + timedelta(days=number), "pending", json.dumps(records))], REQUESTS)
+
+
+def _few_paragraphs(rng):
+    """Pairs of records of few paragraphs, alike by 0.85 or more: none shares two whole paragraphs."""
+    text = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    run_on, two, four = text(60), [text(40), text(30)], [text(30) for _ in range(4)]
+    change = lambda t: " ".join(["zzz", *t.split()[1:]])
+    return [({"t": run_on}, {"t": change(run_on)}), ({"a": two[0], "b": two[1]}, {"a": two[0], "b": change(two[1])}), ({"p": four}, {"p": [four[0], *map(change, four[1:])]})]
+
+
+def test_repeats_without_shared_paragraphs_are_refused(spark):
+    pairs = [p for seed in range(40) for p in _few_paragraphs(random.Random(seed))]
+    history = spark.createDataFrame([(f"h{i}", json.dumps(a)) for i, (a, _) in enumerate(pairs)], "id string, source string")
+    assert all(_alike(_bag(a), _bag(b)) >= 0.85 for a, b in pairs)
+    got = incremental.refused(history, _request(spark, 1, [b for _, b in pairs])).count()
+    assert got == len(pairs)
+
+
+def test_an_index_stays_and_only_the_batch_is_hashed(spark, records, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    where = f"file://{tmp_path}/index"
+    fresh = [_record(rng) for _ in range(3)]
+    one = incremental.HashIndex(spark, where, buckets=3)
+    first = incremental.refused(_frame(spark, records[:60]), _request(spark, 1, [records[4][1], fresh[0], fresh[1]]), one)
+    assert {tuple(r) for r in first.collect()} == {(1, 0)}
+    one.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(one.name)]
+    hashed, rows = incremental.hashed, []
+    monkeypatch.setattr(incremental, "hashed", lambda df, *a: rows.append(df.count()) or hashed(df, *a))
+    again = incremental.HashIndex(spark, where, buckets=99)
+    assert again.filled and again.buckets == 3
+    batch = [_edited(rng, fresh[0], 0.04), fresh[2], _edited(rng, records[7][1], 0.04), fresh[1]]
+    got = {tuple(r) for r in incremental.refused(None, _request(spark, 2, batch), again).collect()}
+    assert got == {(2, 0), (2, 2), (2, 3)}
+    assert rows == [4]
+    again.close()
+
+
+def test_keys_that_very_many_contents_share(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "HOT", 20)
+    monkeypatch.setattr(incremental, "LEADERS", 2)
+    rng = random.Random(9)
+    shared, far = " ".join(rng.choice(WORDS) for _ in range(60)), " ".join(rng.choice(WORDS) for _ in range(60))
+    body = lambda n: {"a": shared, "b": f"{n} " + " ".join(random.Random(n % 7).choices(WORDS, k=30))}
+    history = [body(n) for n in range(120)]
+    new = [body(n) for n in range(200, 230)] + [{"a": far, "b": "one two"}, {"a": far + " more", "b": "one two"}]
+    df = spark.createDataFrame([(f"h{i}", json.dumps(r)) for i, r in enumerate(history)], "id string, source string")
+    got = {r.record_no for r in incremental.refused(df, _request(spark, 1, new)).collect()}
+    want = {i for i, r in enumerate(new) if any(_alike(_bag(r), _bag(x)) >= words.SIMILAR for x in history + new[:i])}
+    assert got == want
+
+
 def test_very_long_records(spark):
     long = {"t": " ".join(f"w{i % 5000}" for i in range(60_000))}
     df = spark.createDataFrame([("a", json.dumps(long)), ("b", json.dumps(long | {"u": "x y z"}))], "id string, source string")
