@@ -4,7 +4,7 @@ The index is a folder of tables that stays: it is opened by its path, asked
 about a batch, and takes the batch's hashes in; nothing of the history is read
 or hashed again, for all that a check needs is in the tables:
 
-- ``contents``: a row per distinct content with the hash of its bag of words,
+- ``contents``: a row per record with the hash of its bag of words, its sketch,
   its paragraph hashes with the words of each, and a hash for every word;
 - ``heads``, bucketed by paragraph hash: the paragraphs that a content is found by;
 - ``bands``, bucketed by key: the bands of its min-wise sketch.
@@ -18,8 +18,11 @@ of them: its heads. So a join of heads misses no such pair, and the coverage is
 then summed over all paragraphs of both. A coverage of ``least`` proves the
 similarity; where edits are spread over the paragraphs it can't, and pairs that
 met by a head or by a band of the sketch are checked exactly, word by word.
-Bands find a pair of similarity 0.7 with probability 0.96, of 0.75 with 0.993,
-of 0.8 with 0.9995; the paragraphs come on top of that.
+Bands of 7 hashes find a pair of similarity 0.7 with probability 0.85, of 0.75
+with 0.96, of 0.8 with 0.994, of 0.85 with 0.9996; the paragraphs come on top of
+that. (Of 6 hashes they would find more at 0.7, but bring together five times as
+many records that merely use the same words, and that number grows with the
+square of the data.)
 """
 
 from __future__ import annotations
@@ -42,19 +45,21 @@ from rosterlake.session import _delete, materialise, shared_dir
 OFTEN = 1 / 20_000
 #: Most of 64 bits of the sketch in which two contents that meet by a band may differ; 0.998 of pairs of similarity 0.7 do in fewer.
 RADIUS = 18
+#: Bands of the sketch and hashes in each.
+BANDS, ROWS = 22, 7
 #: A key that more contents of the index have is first tried with ``LEADERS`` of them; what those don't settle meets all the others.
 HOT, LEADERS = 512, 16
 
-_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, low bigint, bands array<bigint>, place string"
+_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, low bigint, high bigint, bands array<bigint>, place string"
 _BUCKETED = {"heads": "key bigint, content bigint, n_words int", "bands": "key bigint, content bigint, n_words int, low bigint"}
 _NAMES = [x.split()[0] for x in _HASHED.split(", ")]
 
 
 def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
-    """(content, n_words, hashes, sizes, tokens, low, bands, place) of each record with words enough; place says where to find it.
+    """(content, n_words, hashes, sizes, tokens, low, high, bands, place) of each record with words enough; place says where to find it.
 
     ``hashes`` are its distinct paragraphs and ``sizes`` the words of each,
-    ``tokens`` a hash of every word, ``low`` and ``bands`` its sketch. A text
+    ``tokens`` a hash of every word, ``low``, ``high`` and ``bands`` its sketch. A text
     that is null, isn't a JSON object or holds under 25 words gives no row.
     """
 
@@ -65,15 +70,15 @@ def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
                 if got is None:
                     continue
                 hashes, sizes, first = got.paragraphs
-                low, _, keys = neardup.sketch_of(neardup.minima(got.tokens, got.starts))
+                low, high, keys = neardup.sketch_of(neardup.minima(got.tokens, got.starts), BANDS, ROWS)
                 pieces = pa.array(np.append(first, len(hashes)), pa.int32())
                 bag = pa.array(np.append(got.starts, len(got.tokens)), pa.int32())
-                banded = pa.array(np.arange(0, keys.size + 1, neardup.BANDS), pa.int32())
+                banded = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
                 folded = (got.tokens ^ (got.tokens >> np.uint64(32))).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(got.contents), pa.array(got.sizes.astype(np.int32)), pa.ListArray.from_arrays(pieces, pa.array(hashes)),
-                        pa.ListArray.from_arrays(pieces, pa.array(sizes)), pa.ListArray.from_arrays(bag, pa.array(folded)), pa.array(low),
+                        pa.ListArray.from_arrays(pieces, pa.array(sizes)), pa.ListArray.from_arrays(bag, pa.array(folded)), pa.array(low), pa.array(high),
                         pa.ListArray.from_arrays(banded, pa.array(keys.reshape(-1))), batch.column(1).take(pa.array(got.rows + at)),
                     ],
                     _NAMES,
@@ -148,24 +153,33 @@ class HashIndex:
         self.often = self._often()
         self.spark.createDataFrame([(self.buckets, self.least)], "buckets int, least double").coalesce(1).write.parquet(self.path + "/made")
 
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Add the hashes of :func:`hashed` rows, written out already. Of equal contents one is added, and none that the index has.
+    def append(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Add the rows of :func:`hashed`. Of equal contents one is found again, and none that the index has already.
 
-        Returns the rows added. Only the batch is read, and the column of contents of the index.
+        Returns the rows, and the contents among them that the index had
+        before. Of the index only the column of contents is read.
         """
-        if self.filled:
-            batch = materialise(batch.join(self.contents().select("content"), "content", "left_anti"), "fresh")
-        several = materialise(batch.groupBy("content").count().filter("count > 1").select("content"), "several")
+        old = self.contents().select("content").distinct() if self.filled else None
+        where = f"{self.path}/contents/{uuid.uuid4().hex}"
+        batch.write.option("compression", "zstd").parquet(where)
+        rows = self.spark.read.schema(_HASHED).parquet(where)
+        if old is None:
+            stored = self.spark.createDataFrame([], "content bigint")
+            new = rows
+        else:
+            stored = materialise(rows.select("content").distinct().join(old, "content", "left_semi"), "stored")
+            new = rows.join(stored, "content", "left_anti")
+        several = materialise(new.groupBy("content").count().filter("count > 1").select("content"), "several")
         few = several.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
         repeated = F.broadcast(several) if few else several
-        once = batch.join(repeated, "content", "left_anti").unionByName(batch.join(repeated, "content", "left_semi").dropDuplicates(["content"]))
+        parts = new.select("content", "n_words", "hashes", "sizes", "low", "bands")
+        once = parts.join(repeated, "content", "left_anti").unionByName(parts.join(repeated, "content", "left_semi").dropDuplicates(["content"]))
         if not self.filled:
             self._start(once)
-        once.select("content", "n_words", "hashes", "sizes", "tokens", "place").write.mode("append").option("compression", "zstd").parquet(self.path + "/contents")
         self._write(heads(once, self.often, self.least), "heads")
         self._write(once.select(F.explode("bands").alias("key"), "content", "n_words", "low"), "bands")
         self.filled = True
-        return once
+        return rows, stored
 
     def _write(self, df: DataFrame, part: str) -> None:
         by = _BUCKETED[part].split()[0]
@@ -182,8 +196,8 @@ class HashIndex:
         return name
 
     def contents(self) -> DataFrame:
-        """(content, n_words, hashes, sizes, tokens, place) of everything appended."""
-        return self.spark.read.schema(_HASHED).parquet(self.path + "/contents").drop("low", "bands")
+        """The rows of :func:`hashed` of everything appended."""
+        return self.spark.read.schema(_HASHED).option("recursiveFileLookup", "true").parquet(self.path + "/contents")
 
     def keyed(self, part: str) -> DataFrame:
         """A bucketed table: ``heads`` (key, content, n_words) or ``bands`` (key, content, n_words, low)."""
@@ -202,47 +216,61 @@ class HashIndex:
         near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("low"))) <= RADIUS if part == "bands" else F.lit(True)
         return size & near & (F.col("asked") != F.col("other"))
 
-    def meeting(self, asked: dict[str, DataFrame], leaders: bool = False, among: DataFrame | None = None) -> DataFrame:
-        """(asked, other): contents that share a head or a band and whose sizes, and sketches, allow the similarity.
+    def find_hot(self, asked: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The keys of ``asked``, by table, that more than ``HOT`` contents of the index have; tables without any are left out."""
+        out = {}
+        for part, mine in asked.items():
+            rows = self.keyed(part).select("key").join(mine.select("key").distinct(), "key", "left_semi")
+            hot = materialise(rows.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+            several = hot.limit(neardup.BROADCAST_ROWS + 1).count()
+            if several:
+                out[part] = F.broadcast(hot) if several <= neardup.BROADCAST_ROWS else hot
+        return out
+
+    def meeting(self, asked: dict[str, DataFrame], hot: dict[str, DataFrame], among: DataFrame | None = None) -> DataFrame:
+        """(asked, other, by_head): contents that share a head or a band and whose sizes, and sketches, allow the similarity.
 
-        With ``leaders`` a key that is hot brings just its first contents; with
-        ``among``, (content), only those of the asked contents meet anything.
+        Of the contents with a hot key only some leaders are met; given
+        ``among``, (content), these contents meet all that share their hot keys,
+        and nothing else.
         """
         both = None
         for part, mine in asked.items():
-            if among is not None:
-                mine = mine.join(among, "content", "left_semi")
-            mine = mine.select("key", F.col("content").alias("asked"), F.col("n_words").alias("n"), *([F.col("low").alias("sketch")] if part == "bands" else []))
             theirs = self.keyed(part).withColumnRenamed("content", "other")
-            if leaders and self.hot[part] is not None:
+            if among is not None:
+                if part not in hot:
+                    continue
+                mine = mine.join(hot[part], "key", "left_semi").join(among, "content", "left_semi")
+            elif part in hot:
                 columns = [c for c in theirs.columns if c != "key"]
-                classes = theirs.join(self.hot[part], "key", "left_semi").groupBy("key", F.pmod("other", F.lit(LEADERS)))
+                classes = theirs.join(hot[part], "key", "left_semi").groupBy("key", F.pmod("other", F.lit(LEADERS)))
                 first = classes.agg(F.min(F.struct("other", *[c for c in columns if c != "other"])).alias("f")).select("key", "f.*").select("key", *columns)
-                theirs = theirs.join(self.hot[part], "key", "left_anti").unionByName(first)
-            met = mine.join(theirs, "key").filter(self._fits(part)).select("asked", "other")
+                theirs = theirs.join(hot[part], "key", "left_anti").unionByName(first)
+            mine = mine.select("key", F.col("content").alias("asked"), F.col("n_words").alias("n"), *([F.col("low").alias("sketch")] if part == "bands" else []))
+            met = mine.join(theirs, "key").filter(self._fits(part)).select("asked", "other", F.lit(part == "heads").alias("by_head"))
             both = met if both is None else both.unionByName(met)
-        return materialise(both.distinct(), "met")
+        return materialise(both.groupBy("asked", "other").agg(F.max("by_head").alias("by_head")), "met")
 
-    def find_hot(self, asked: dict[str, DataFrame]) -> bool:
-        """Note the keys of ``asked`` that more than ``HOT`` contents of the index have; whether there are any."""
-        self.hot = {}
-        for part, mine in asked.items():
-            rows = self.keyed(part).select("key").join(mine.select("key").distinct(), "key", "left_semi")
-            hot = materialise(rows.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
-            several = hot.limit(neardup.BROADCAST_ROWS + 1).count()
-            self.hot[part] = None if not several else F.broadcast(hot) if several <= neardup.BROADCAST_ROWS else hot
-        return any(h is not None for h in self.hot.values())
+    def _ends(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the contents that stand in the pairs, once each."""
+        ends = materialise(pairs.select(F.col("asked").alias("content")).union(pairs.select(F.col("other").alias("content"))).distinct(), "ends")
+        few = ends.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
+        rows = self.contents().select("content", *columns).join(F.broadcast(ends) if few else ends, "content", "left_semi")
+        return materialise(rows.dropDuplicates(["content"]), "held")
 
     def similar(self, met: DataFrame) -> DataFrame:
         """(asked, other) of the pairs that are similar: by the coverage of shared paragraphs, else by their words."""
-        ends = materialise(met.select(F.col("asked").alias("content")).union(met.select(F.col("other").alias("content"))).distinct(), "ends")
-        few = ends.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
-        held = materialise(self.contents().drop("place").join(F.broadcast(ends) if few else ends, "content", "left_semi"), "held")
 
-        def side(name: str, mark: str) -> DataFrame:
-            return held.select(F.col("content").alias(name), *[F.col(c).alias(c + mark) for c in ("n_words", "hashes", "sizes", "tokens")])
+        def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+            held = self._ends(pairs, *columns)
+            for name, mark in (("asked", "_a"), ("other", "_b")):
+                pairs = pairs.join(held.select(F.col("content").alias(name), *[F.col(c).alias(c + mark) for c in columns]), name)
+            return pairs
 
-        pairs = met.join(side("asked", "_a"), "asked").join(side("other", "_b"), "other")
+        apart = joined(met, "low", "high")
+        apart = apart.withColumn("bits", F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))))
+        near = materialise(apart.filter(F.col("by_head") | (F.col("bits") <= neardup.RADIUS)).select("asked", "other"), "near")
+        pairs = joined(near, "n_words", "hashes", "sizes", "tokens")
         shared = F.array_intersect("hashes_a", "hashes_b")
         covered = F.aggregate(
             shared, F.lit(0), lambda s, h: s + F.least(F.element_at("sizes_a", F.array_position("hashes_a", h).cast("int")), F.element_at("sizes_b", F.array_position("hashes_b", h).cast("int")))
@@ -275,21 +303,19 @@ def refused(candidates: DataFrame | None, requests: DataFrame, index: HashIndex
     """
     index = index or HashIndex(requests.sparkSession)
     if candidates is not None:
-        index.append(materialise(hashed(candidates.filter(F.col("id").isNotNull()), "source", "id"), "hashed"))
+        index.append(hashed(candidates.filter(F.col("id").isNotNull()), "source", "id"))
     # the place in the order of arrival: microseconds, then record_no; request_id breaks what ties are left
     at = F.unix_micros(F.col("received_at").cast("timestamp"))
     place = F.concat_ws(" ", at.cast("string"), F.col("record_no").cast("string"), F.col("request_id").cast("string"))
-    batch = materialise(hashed(pending_records(requests).select("record", place.alias("place")), "record", "place"), "batch")
-    order = F.split("place", " ").cast("array<bigint>")
-    new = batch.select("content", order.alias("place")).select("content", F.col("place")[0].alias("at"), F.col("place")[1].cast("int").alias("record_no"), F.col("place")[2].alias("request_id"))
+    batch, stored = index.append(hashed(pending_records(requests).select("record", place.alias("place")), "record", "place"))
+    parts = F.split("place", " ").cast("array<bigint>")
+    new = batch.select("content", parts.alias("p")).select("content", F.col("p")[0].alias("at"), F.col("p")[1].cast("int").alias("record_no"), F.col("p")[2].alias("request_id"))
     order = F.struct("at", "record_no", "request_id")
     firsts = new.groupBy("content").agg(F.min(order).alias("first"))
-    stored = index.contents().select("content", F.lit(True).alias("stored")) if index.filled else None
-    known = firsts.join(stored.distinct(), "content", "left") if stored is not None else firsts.withColumn("stored", F.lit(None).cast("boolean"))
-    known = materialise(known, "known")
-
-    index.append(batch)
-    asked = {part: materialise(rows, part) for part, rows in index.asked(batch).items()}
+    known = materialise(firsts.join(stored.withColumn("stored", F.lit(True)), "content", "left"), "known")
+    # what history has is refused already, and nobody else needs to be compared for it
+    asked = index.asked(batch.join(stored, "content", "left_anti"))
+    asked = {part: materialise(rows, part) for part, rows in asked.items()}
 
     def judged(similar: DataFrame) -> DataFrame:
         """(content, like_stored, like_first): history counts as before everything."""
@@ -298,12 +324,12 @@ def refused(candidates: DataFrame | None, requests: DataFrame, index: HashIndex
         return theirs.groupBy(F.col("asked").alias("content")).agg(F.max(old).alias("like_stored"), F.min("first").alias("like_first"))
 
     hot = index.find_hot(asked)
-    similar = index.similar(index.meeting(asked, leaders=hot))
+    similar = index.similar(index.meeting(asked, hot))
     if hot:
         # whoever repeats a stored record, or one before its own first, is settled; the others meet all that have their hot keys
         settled = judged(similar).join(known, "content").filter(F.col("like_stored") | (F.col("like_first") < F.col("first")))
-        open_ones = materialise(known.filter(F.col("stored").isNull()).select("content").join(settled.select("content"), "content", "left_anti"), "open")
-        similar = similar.unionByName(index.similar(index.meeting(asked, among=open_ones)))
+        unsettled = materialise(known.filter(F.col("stored").isNull()).select("content").join(settled.select("content"), "content", "left_anti"), "unsettled")
+        similar = similar.unionByName(index.similar(index.meeting(asked, hot, unsettled)))
     everyone = new.join(known, "content").join(judged(similar), "content", "left")
     earlier = (
         F.coalesce("stored", F.lit(False)) | F.coalesce("like_stored", F.lit(False))

@@ -39,7 +39,7 @@ BROADCAST_ROWS = 200_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-_MIX = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+_MIX = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 _SKETCH = "id string, content bigint, n_words int, low bigint, high bigint, bands array<bigint>"
 
@@ -56,17 +56,17 @@ def minima(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def sketch_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sketch_of(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low half of the bits, high half, band keys) of each record."""
     bits = ((least[:, :SLICES] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64)
     weights = np.uint64(1) << np.arange(SLICES // 2, dtype=np.uint64)
     low = (bits[:, : SLICES // 2] * weights).sum(axis=1, dtype=np.uint64)
     high = (bits[:, SLICES // 2 :] * weights).sum(axis=1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        shaped = least.astype(np.uint64).reshape(len(least), BANDS, ROWS)
-        keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys = np.broadcast_to(keys, (len(least), BANDS)).copy()
-        for r in range(ROWS):
+        shaped = least[:, : bands * rows].astype(np.uint64).reshape(len(least), bands, rows)
+        keys = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = np.broadcast_to(keys, (len(least), bands)).copy()
+        for r in range(rows):
             keys ^= (shaped[:, :, r] + np.uint64(r + 1)) * _MIX[r]
             keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return low.view(np.int64), high.view(np.int64), keys.view(np.int64)
