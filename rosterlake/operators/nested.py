@@ -2,16 +2,20 @@
 
 A merged schema is inferred over all records in one distributed pass, keeping
 every alternative kind seen at a place (object, array, scalar); nothing but it
-reaches the driver. Each array level is then exploded into child rows that
-carry the key of the parent row and their ordinal. The exploding is one Arrow
-pass over each record: generated Catalyst expressions overflow the planner's
-stack on records nested fifty deep, and a pass per level would parse each
-record as often as it has levels.
+reaches the driver. It says which tables there are, one per place that holds
+objects, and leads the explosion: level by level, the objects of one level are
+opened only at the fields under which the schema has objects, and each element
+of an array there becomes a row of the child table, with a surrogate key of its
+own, that of its parent row and its ordinal. All levels are exploded in one
+Arrow pass over each record: generated Catalyst expressions overflow the
+planner's stack on records nested fifty deep, and a pass per level would parse
+each record as often as it has levels.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from rosterlake.session import materialise
 
 ITEM = "[]"
 
@@ -37,6 +43,11 @@ class Shape:
         below = list(self.fields.values()) + ([self.item] if self.item else [])
         return "object" in self.kinds or any(x.has_object() for x in below)
 
+    def places(self) -> tuple:
+        """What the explosion needs of the schema: (fields that hold objects at any depth, each with its own places, places of the items)."""
+        below = tuple((k, s.places()) for k, s in sorted(self.fields.items()) if s.has_object())
+        return below, self.item.places() if self.item and self.item.has_object() else None
+
     def item_scalars(self) -> bool:
         """Whether arrays here hold scalars, at any depth of arrays."""
         return self.item is not None and (bool(self.item.kinds - {"object", "array"}) or self.item.item_scalars())
@@ -55,11 +66,21 @@ def kind_of(value) -> str:
     return "null" if value is None else "number"
 
 
+def alternative(value) -> str:
+    """The JSON type of a parsed value, with numbers told apart by what holds them exactly."""
+    kind = kind_of(value)
+    if kind != "number":
+        return kind
+    if isinstance(value, float):
+        return "double"
+    return "integer" if abs(value) <= 1 << 53 else "long" if -(1 << 63) <= value < 1 << 63 else "decimal" if abs(value) < 10**38 else "double"
+
+
 def _shapes(value, path: tuple, seen: set) -> None:
     stack = [(value, path)]
     while stack:
         x, at = stack.pop()
-        seen.add((at, kind_of(x)))
+        seen.add((at, alternative(x)))
         if isinstance(x, dict):
             stack.extend((y, (*at, k)) for k, y in x.items())
         elif isinstance(x, list):
@@ -107,22 +128,33 @@ def infer_shape(df: DataFrame, source: str, most_places: int = 20_000) -> Shape:
 _NODE = "node_path string, parent_path string, kind string, ordinal int"
 
 
-def _explode(record: dict, keep: bool) -> Iterator[tuple]:
-    """The objects below a record, level by level and without recursion, so any depth is fine."""
-    if keep:
-        yield "", None, "", None, _own(record)
-    stack = [(v, k, "", k, None) for k, v in reversed(record.items()) if isinstance(v, (dict, list))]
-    while stack:
-        value, path, parent, kind, ordinal = stack.pop()
-        if isinstance(value, dict):
-            yield path, parent, kind, ordinal, _own(value) if keep else None
-            for k, v in value.items():
-                if isinstance(v, (dict, list)):
-                    stack.append((v, f"{path}.{k}", path, f"{kind}.{k}", None))
-        else:
-            for i, v in enumerate(value):
-                if isinstance(v, (dict, list)):
-                    stack.append((v, f"{path}[{i}]", parent, kind + ITEM, i))
+def _levels(record: dict, places: tuple, keep: bool) -> Iterator[tuple]:
+    """The rows of a record, level by level: below an object, only fields under which the merged schema has objects are opened."""
+    level = [(record, places, "", None, "", None)]
+    top = True
+    while level:
+        below = []
+        for value, (fields, _), path, parent, kind, ordinal in level:
+            if not top:
+                yield path, parent, kind, ordinal, _own(value) if keep else None
+            elif keep:
+                yield "", None, "", None, _own(value)
+            for k, place in fields:
+                v = value.get(k)
+                if isinstance(v, dict):
+                    below.append((v, place, path and f"{path}.{k}" or k, path, kind and f"{kind}.{k}" or k, None))
+                elif isinstance(v, list):
+                    arrays = [(v, place, path and f"{path}.{k}" or k, kind and f"{kind}.{k}" or k)]
+                    for array, outer, at, of in arrays:
+                        inner, of = outer[1], of + ITEM
+                        if inner is None:
+                            continue
+                        for i, x in enumerate(array):
+                            if isinstance(x, dict):
+                                below.append((x, inner, f"{at}[{i}]", path, of, i))
+                            elif isinstance(x, list):
+                                arrays.append((x, inner, f"{at}[{i}]", of))
+        level, top = below, False
 
 
 def _own(value: dict) -> str:
@@ -135,7 +167,10 @@ def _own(value: dict) -> str:
             rest, scalars = _without_objects(v)
             if scalars:
                 own[k] = rest
-    return json.dumps(own, ensure_ascii=False)
+    try:
+        return json.dumps(own, ensure_ascii=False, allow_nan=False)
+    except ValueError:  # NaN and infinities are no JSON
+        return json.dumps({k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in own.items()}, ensure_ascii=False)
 
 
 def _without_objects(items: list) -> tuple[list, bool]:
@@ -165,25 +200,30 @@ def _holds_object(value) -> bool:
     return False
 
 
-def nodes(df: DataFrame, key: str, source: str, keep: bool = False) -> DataFrame:
-    """One row per object below the top of each record.
+def nodes(df: DataFrame, key: str, source: str, keep: bool = False, shape: Shape | None = None) -> DataFrame:
+    """One row per object below the top of each record: the rows of all child tables.
 
     Columns: the key, ``node_path``, ``parent_path`` ('' for the record), the
-    ``kind`` (the path with ``[]`` for places), the ``ordinal`` in the nearest
-    array (null outside arrays) and, with ``keep``, the object's scalar fields
-    as JSON text in ``node``; then the record itself has a row too, with the
-    path and kind '' and no parent.
+    ``kind`` (the path with ``[]`` for places, which names the child table), the
+    ``ordinal`` in the nearest array (null outside arrays), the surrogate keys
+    ``row_key`` and ``parent_key`` and, with ``keep``, the object's scalar
+    fields as JSON text in ``node``; then the record itself has a row too, with
+    the path and kind '' and no parent. ``shape`` is the merged schema, inferred
+    here if not given.
 
     A source that is null, isn't JSON, or isn't an object gives no rows; where
     a key is repeated the last value holds; a null key stays null; repeated
-    rows give repeated nodes; other columns of ``df`` are left out, whatever
-    their names.
+    rows give repeated nodes with the same keys; other columns of ``df`` are
+    left out, whatever their names.
     """
+    places = df.sparkSession.sparkContext.broadcast((shape or infer_shape(df, source)).places())
     of_key = df.schema[key].dataType
-    schema = StructType([StructField(key, of_key), *StructType.fromDDL(_NODE).fields, *([StructField("node", StringType())] if keep else [])])
+    own = StructField("node", StringType())
+    schema = StructType([StructField(key, of_key), *StructType.fromDDL(_NODE).fields, own, StructField("__record", LongType())])
     arrow = to_arrow_schema(schema)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = places.value
         for batch in batches:
             took: list[int] = []
             rows: list[tuple] = []
@@ -194,7 +234,7 @@ def nodes(df: DataFrame, key: str, source: str, keep: bool = False) -> DataFrame
                     continue
                 if isinstance(record, dict):
                     before = len(rows)
-                    rows.extend(_explode(record, keep))
+                    rows.extend(_levels(record, known, keep))
                     took.extend([i] * (len(rows) - before))
                 if len(rows) > 50_000:
                     yield _batch(batch, took, rows, arrow)
@@ -202,30 +242,48 @@ def nodes(df: DataFrame, key: str, source: str, keep: bool = False) -> DataFrame
             if rows:
                 yield _batch(batch, took, rows, arrow)
 
-    return df.select(F.col(key).alias("k"), F.col(source).alias("s")).mapInArrow(explode, schema)
+    rows = df.select(F.col(key).alias("k"), F.col(source).alias("s"), F.xxhash64(key, source).alias("r")).mapInArrow(explode, schema)
+    parent = F.when(F.col("parent_path").isNotNull(), F.xxhash64("__record", "parent_path"))
+    return rows.select(key, "node_path", "parent_path", "kind", "ordinal", F.xxhash64("__record", "node_path").alias("row_key"), parent.alias("parent_key"), *(["node"] if keep else []))
 
 
 def _batch(batch: pa.RecordBatch, took: list[int], rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))[: len(schema) - 1]
-    keys = batch.column(0).take(pa.array(took, pa.int32()))
-    return pa.RecordBatch.from_arrays([keys, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+    at = pa.array(took, pa.int32())
+    columns = zip(zip(*rows, strict=True), list(schema)[1:-1], strict=True)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, f.type) for c, f in columns), batch.column(2).take(at)], schema=schema)
 
 
-_TYPES = {"string": "string", "number": "double", "boolean": "boolean"}
+def _branches(kinds: set[str]) -> list[tuple[str, str]]:
+    """(label, SQL type) of the columns that hold a field's scalars, one per JSON type; numbers in the narrowest type that keeps all of them exactly."""
+    out = [(k, k) for k in ("boolean", "string") if k in kinds]
+    wide, whole = kinds & {"long", "decimal"}, "decimal(38,0)" if "decimal" in kinds else "bigint"
+    if "double" in kinds:
+        out.append(("number", "double"))
+        if wide:  # doubles would round these
+            out.append(("integer", whole))
+    elif wide or "integer" in kinds:
+        out.append(("number", whole))
+    return sorted(out)
 
 
 def child_tables(df: DataFrame, key: str, source: str) -> dict[str, DataFrame]:
     """One flat table per kind of object, named by its path with ``[]`` for places.
 
-    Each has the key, ``node_path``, ``parent_path`` and ``ordinal``, then one
-    column per scalar field of that kind, sorted by name. A field whose kinds
-    conflict gets one column per kind, ``name__kind``; arrays that hold scalars
+    Each has the key, ``node_path``, ``parent_path``, ``ordinal`` and the
+    surrogate keys ``row_key`` and ``parent_key``, then one column per scalar
+    field of that kind, sorted by name. A field whose kinds conflict gets one
+    column per kind, ``name__kind``; whole numbers are bigint, or decimal where
+    that is too narrow, and other numbers double (``name__integer`` beside
+    ``name__number`` where a double would round some). Arrays that hold scalars
     stay as JSON text in ``name__array``, with null for each object among them.
-    The record itself is the kind '', if it has such columns. Field columns begin with ``f_``, so they
-    can't clash with the keys.
+    The record itself is the kind '', if it has such columns. Field columns
+    begin with ``f_``, so they can't clash with the keys. NaN and infinities,
+    which aren't JSON, are null.
+
+    The rows of all tables are exploded and written once, sorted by table, so
+    that reading one skips the others.
     """
     shape = infer_shape(df, source)
-    every = nodes(df, key, source, keep=True)
     found: dict[str, dict[str, Shape]] = {}
 
     def gather(node: Shape, kind: str) -> None:
@@ -237,26 +295,33 @@ def child_tables(df: DataFrame, key: str, source: str) -> dict[str, DataFrame]:
             gather(node.item, kind + ITEM)
 
     gather(shape, "")
+    if not found:
+        return {}
+    every = materialise(nodes(df, key, source, keep=True, shape=shape).sortWithinPartitions("kind"), "nodes")
     tables = {}
     for kind, fields in sorted(found.items()):
         columns = []
         for name, s in sorted(fields.items()):
-            value = F.element_at(F.try_variant_get(F.try_parse_json("node"), "$", "map<string,variant>"), F.lit(name))
-            seen = sorted(k for k in s.kinds if k in _TYPES)
-            for k in seen:
-                label = f"f_{name}" if len(seen) == 1 else f"f_{name}__{k}"
-                columns.append(typed(value, k).alias(label))
+            value = F.element_at("fields", F.lit(name))
+            branches = _branches(s.kinds)
+            for label, sql in branches:
+                columns.append(typed(value, label, sql).alias(f"f_{name}" if len(branches) == 1 else f"f_{name}__{label}"))
             if "array" in s.kinds and (s.item_scalars() or not s.has_object()):
                 columns.append(F.to_json(F.try_variant_get(value, "$", "array<variant>")).alias(f"f_{name}__array"))
         if kind == "" and not columns:
             continue
-        tables[kind] = every.filter(F.col("kind") == kind).select(key, "node_path", "parent_path", "ordinal", *columns)
+        rows = every.filter(F.col("kind") == kind).withColumn("fields", F.try_variant_get(F.try_parse_json("node"), "$", "map<string,variant>"))
+        tables[kind] = rows.select(key, "node_path", "parent_path", "ordinal", "row_key", "parent_key", *columns)
     return tables
 
 
-def typed(value: Column, kind: str) -> Column:
-    """A variant as the given JSON type, null if it is of another."""
-    fits = {"string": "STRING", "boolean": "BOOLEAN"}.get(kind)
+_OF_LABEL = {"string": "^STRING", "boolean": "^BOOLEAN", "number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)", "integer": r"^(BIGINT|INT|DECIMAL\(\d+,0\))"}
+
+
+def typed(value: Column, label: str, sql: str) -> Column:
+    """A variant as the given type, null if it is of another JSON type."""
     of = F.schema_of_variant(value)
-    right = (of == fits) if fits else of.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)")
-    return F.when(right, F.try_variant_get(value, "$", _TYPES[kind]))
+    right = of.rlike(_OF_LABEL[label])
+    if label == "integer":  # numbers that a double holds are in the other column
+        return F.when(right & (F.abs(F.try_variant_get(value, "$", "decimal(38,0)")) > 1 << 53), F.try_variant_get(value, "$", sql))
+    return F.when(right, F.try_variant_get(value, "$", sql))

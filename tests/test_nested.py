@@ -51,7 +51,7 @@ def test_child_tables_link_to_parents(spark):
     tables = nested.child_tables(_frame(spark, rows), "id", "source")
     assert set(tables) == {"jobs", "jobs[]"}
     jobs = sorted((r.node_path, r.f_firm, r.f_years__number, r.f_years__string, r.f_tags__array) for r in tables["jobs[]"].collect())
-    assert jobs == [("jobs[0]", "X", 3.0, None, '["p"]'), ("jobs[1]", "Y", None, "4", None)]
+    assert jobs == [("jobs[0]", "X", 3, None, '["p"]'), ("jobs[1]", "Y", None, "4", None)]
     assert [r.f_firm for r in tables["jobs"].collect()] == ["Z"]
 
 
@@ -62,6 +62,30 @@ def test_child_tables_keep_every_scalar(spark):
     assert sorted((r.id, r.f_c__array, r.f_stack__array) for r in tables["m"].collect()) == [("a", '[[1,null],["z"]]', '["p"]'), ("b", None, '["q",null]')]
 
 
+def test_keys_link_each_row_to_its_parent(spark):
+    rows = nested.nodes(_frame(spark), "id", "source", keep=True).collect()
+    keys = {(r.id, r.node_path): r.row_key for r in rows}
+    assert len(set(keys.values())) == len(keys)
+    assert all(r.parent_key == keys[r.id, r.parent_path] for r in rows if r.node_path)
+    assert all(r.parent_key is None for r in rows if not r.node_path)
+
+
+def test_numbers_are_kept_exactly(spark):
+    big, huge = 9007199254740993, 10**30 + 1
+    rows = [("a", f'{{"o": {{"i": {big}, "d": {huge}, "m": 1, "x": 0.5, "n": NaN}}}}'), ("b", f'{{"o": {{"i": 4, "d": 5, "m": 2.5, "x": {big}}}}}')]
+    table = nested.child_tables(_frame(spark, rows), "id", "source")["o"]
+    got = {r.id: r for r in table.collect()}
+    assert (got["a"].f_i, got["b"].f_i) == (big, 4)
+    assert (int(got["a"].f_d), int(got["b"].f_d)) == (huge, 5)
+    assert (got["a"].f_m, got["b"].f_m) == (1.0, 2.5)
+    assert (got["a"].f_x__number, got["a"].f_x__integer, got["b"].f_x__integer) == (0.5, None, big)
+
+
+def test_only_places_of_the_merged_schema_are_opened(spark):
+    shape = nested.infer_shape(_frame(spark, [("a", '{"x": {"y": [1, {"z": 2}]}, "t": ["u"]}')]), "source")
+    assert shape.places() == ((("x", ((("y", ((), ((), None))),), None)),), None)
+
+
 def test_empty_table(spark):
     empty = _frame(spark).limit(0)
     assert nested.nodes(empty, "id", "source").count() == 0
