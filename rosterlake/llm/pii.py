@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.names import NICKNAMES
+from rosterlake.llm.names import NICKNAMES, SUFFIXES, TITLES
 from rosterlake.session import materialise
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
@@ -75,8 +75,8 @@ _PERSON = re.compile(
 _LEAD = re.compile(
     r"(?:\b(?:ask(?:ed)?|referred by|led by|worked (?:next to|with|for|under)|next to|manager (?:was|is)|reports? to|reported to|contact person:?|reference:?|referee:?|recommended by|introduced by|mentored by|hired by|spoke (?:to|with)|supervised by|signed by|met|thanks to))\s+$", re.I
 )
-_TRAIL = re.compile(r"^\s*(?:vouches|vouched|recommends?|about the handover|until the merger|on the rota|referred|introduced|mentored|supervised|can confirm|confirmed)", re.I)
-_HINT = re.compile(r"vouch|referred|\bled by\b|next to|manager|\bask\b|handover|\brota\b|merger|report|refere|recommend|introduc|mentor|spoke|supervis|\bmet\b|thanks to|hired by|signed by|worked (?:with|for|under)\b|\basked\b|contact person|\b(?:M[rsx]s?|Dr|Prof|Ing|Miss|Mx|Herr|Frau|Sra?|Señora?|Mme|M|Dhr|Mevr|Sir|Dame)\b\.?\s", re.I)
+_TRAIL = re.compile(r"^\s*(?:vouch(?:es|ed)|recommend(?:s|ed)?|refer(?:s|red)|introduced|mentor(?:s|ed)|supervise[sd]|can confirm|confirm(?:s|ed))", re.I)
+_HINT = re.compile(r"vouch|refer|\bled by\b|next to|manager|\bask|report|recommend|introduc|mentor|spoke|supervis|\bmet\b|thanks to|hired by|signed by|worked (?:with|for|under)\b|contact person|confirm|\b(?:M[rsx]s?|Dr|Prof|Ing|Miss|Mx|Herr|Frau|Sra?|Señora?|Mme|M|Dhr|Mevr|Sir|Dame)\b\.?\s", re.I)
 _CAPITAL = re.compile(_CAP)
 _ORG = re.compile(r"\b(?:Labs?|Systems|Media|Works|Freight|Studios?|Robotics|Analytics|Insurance|Logistics|Foods|Energy|Health|Retail|Networks|Payments|Materials|Mobility|Aerospace|Insight|University|Institute|College|GmbH|Ltd|Inc|Group|Partners|Services|Careers|Advisory|Selection|Resourcing|Associate|Practitioner|Expert|Street|Road|Avenue|Lane)\b")
 _STOP = frozenset(
@@ -91,7 +91,7 @@ _NUMBER_HINT = re.compile(r"(?:\d[\s()./+-]{0,3}){6}|[A-Z]{2,5}\d{4}|[A-Z]{2} ?\
 _STREET_HINT = re.compile(rf"{_STREET}\b|stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|laan|straat|plein|gracht|kade|\b(?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|Calle|C/|Avenida|Avda|Plaza|Paseo|Rua|Travessa|Praça|Via|Viale|Piazza|Corso)|улица|ул\.|проспект|пр\.")
 
 _AT_PARTS = ("@", " at ", " AT ", "at)", "at]", "at}", "AT)", "AT]", "AT}", "at )", "at ]", "AT )", "AT ]", "\xa0at", "\tat", "\nat")
-_HINT_PARTS = ("vouch", "refer", "led by", "next to", "manager", "ask", "handover", "rota", "merger", "report", "recommend", "introduc", "mentor", "spoke", "supervis", "met", "thanks to", "hired by", "signed by", "worked ", "contact person")
+_HINT_PARTS = ("vouch", "refer", "led by", "next to", "manager", "ask", "report", "recommend", "confirm", "introduc", "mentor", "spoke", "supervis", "met", "thanks to", "hired by", "signed by", "worked ", "contact person")
 _TITLE_PARTS = ("Mr", "Ms", "Dr", "Prof", "Ing", "Miss", "Mx", "Herr", "Frau", "Sr", "Señor", "Mme", "M ", "M.", "Dhr", "Mevr", "Sir", "Dame")
 
 
@@ -114,17 +114,18 @@ _KEY_SORTS = (
     ("email", re.compile(r"e?-?mail", re.I)), ("phone", re.compile(r"phone|mobile|^tel|fax|cell|whatsapp|^number$", re.I)),
     ("id", re.compile(r"ssn|passport|national|tax|aadhaar|^pan$|^dni$|identity|gov", re.I)), ("address", re.compile(r"address|street|^line\d?$", re.I)),
     ("person", re.compile(r"^name$|referee|reference|people|manager|contact_?person|author|interviewer", re.I)),
-    ("money", re.compile(r"salary|pay|amount|wage|rate", re.I)), ("link", re.compile(r"url|link|portfolio|website|github|profile|site|handle|user", re.I)),
-    ("code", re.compile(r"hash|ref$|_ref|flag|rank|run|scraped|crawler|id$|code|version|year|lvl|month", re.I)),
-    ("label", re.compile(r"company|school|degree|role|title|skill|stack|main|also|certif|location|city|country|place|language|level|position|headline|zone|tag|field", re.I)),
+    ("money", re.compile(r"(?:^|_)(?:salary|pay|amount|wage|rate)s?(?:_|$)")), ("link", re.compile(r"url|link|portfolio|website|github|profile|site|handle|user", re.I)),
+    ("code", re.compile(r"(?:^|_)(?:hash|ref|flag|rank|run|scraped|crawler|id|code|version|year|lvl|month)s?(?:_|$)")),
+    ("label", re.compile(r"(?:^|_)(?:company|school|degree|role|title|skill|stack|main|also|certif\w*|location|city|country|place|language|level|position|headline|zone|tag|field)s?(?:_|$)")),
 )
 
 
 @lru_cache(maxsize=10_000)
 def key_sort(key: str) -> str:
-    """The sort of a key, text if its name says nothing."""
+    """The sort of a key, text if its name says nothing. Money, codes and labels are known by whole words of the key."""
+    words = re.sub(r"(?<=[^\W_A-Z])(?=[A-Z])", "_", key).lower()
     for sort, pattern in _KEY_SORTS:
-        if pattern.search(key):
+        if pattern.search(words if sort in ("money", "code", "label") else key):
             return sort
     return "text"
 
@@ -162,7 +163,7 @@ class Finder:
                 yield self._out("street_address", m.span(), (1, 1 if street else 0, 1 if sort == "address" else (-1 if sort in ("link", "code", "money") else 0), 1 if re.search(r"(?:lives|address|office|home|contract to|moved from|send|at|am|in)\b[^.]{0,22}$", before, re.I) else 0, -1 if _COUNTED.match(text[m.end() :]) else 0), sort, m.group())
         if sort == "person":
             yield from self._people(text, sort, taken, own_name, True)
-        elif sort == "text":
+        elif "," in text or "." in text or len(text.split(None, 1)) > 1:  # true of every text with a name
             hint = (_any(_TITLE_PARTS, text) or _any(_HINT_PARTS, text.lower())) and _HINT.search(text) is not None
             if hint or not self.given.isdisjoint([w.lower() for w in _CAPITAL.findall(text)]):
                 yield from self._people(text, sort, taken, own_name, hint)
@@ -192,7 +193,7 @@ class Finder:
             yield self._out("phone", m.span(), votes, sort, m.group())
 
     def _people(self, text: str, sort: str, taken: list[tuple[int, int]], own_name: bool, hint: bool) -> Iterator[tuple]:
-        """Without a hint in the text, matches that hold no given name have no vote for them and aren't proposed."""
+        """Every match is proposed that any labeler votes for; one without a given name, a title or a cue has no vote but those against it."""
         if own_name:
             return
         at = 0
@@ -219,8 +220,9 @@ class Finder:
                 continue
             if not (hint or full or title or lead):
                 continue
-            votes = (1 if title else 0, 1 if known and (hint or full) else (0 if title or shaped or sort == "person" else -1), 1 if lead else 0 if sort == "person" or title or full else -1, 1 if sort == "person" else 0, -1 if org else 0)
-            yield self._out("person_name", (start, end), votes, sort, m.group())
+            told = sort == "text" or sort != "person" and (lead or title)  # with a cue it is prose, whatever the key
+            votes = (1 if title else 0, 1 if known and (hint or full) else (0 if title or shaped or sort == "person" else -1), 1 if lead else 0 if sort == "person" or title or full else -1, 1 if sort == "person" else 0 if told else -1, -1 if org else 0)
+            yield self._out("person_name", (start, end), votes, "text" if told else sort, m.group())
         if sort == "person" and not _PERSON.search(text) and re.search(r"[^\W\d_]{2}", text):
             # a name key whose value isn't shaped like a name in prose: lower case or one word
             known = any(w in self.given for w in re.findall(r"[^\W\d_]+", text.lower()))
@@ -252,26 +254,28 @@ def _leaves(record: dict) -> Iterator[tuple[str, str, str, object]]:
             yield path, key, parent, v
 
 
-_SPANS = "id string, place string, kind string, start int, stop int, votes int, features string"
-#: Values whose key says that they hold a label, and that have neither digit nor address in them, aren't opened.
-_PLAIN = re.compile(r"[\d@]| (?:at|AT) |[(\[{](?:at|AT)[)\]}]")
+_SPANS = "id string, row bigint, place string, kind string, start int, stop int, votes int, features string"
+_LINK = re.compile(r"\S*://\S*")
 
 
-def gazetteer(df: DataFrame, name: str = "name", fewest: int = 6, most: int = 5_000) -> frozenset[str]:
-    """Given names: words that stand first or last in names beside many different others. At most ``most`` are kept.
+def gazetteer(df: DataFrame, name: str = "name", fewest: int = 6, share: float = 1 / 20_000) -> frozenset[str]:
+    """Given names: words that stand first or last in names beside many different others.
 
-    A word counts if it stands in at least ``fewest`` different names; family names
-    stand in few. Counts cover all names.
+    A word counts if it stands in at least ``fewest`` different names and in
+    ``share`` of them all; family names stand in few. Counts cover all names. A
+    name has at most three words, so there are at most 3 / ``share`` such
+    words, however many names.
     """
     words = F.regexp_extract_all(F.lower(name), F.lit(r"([^\W\d_]{3,})"), 1)
     pairs = df.select(F.array_distinct(words).alias("w")).filter(F.size("w").between(2, 3)).distinct()
     one = pairs.select(F.explode("w").alias("word"), F.concat_ws(" ", "w").alias("with"))
-    often = one.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest)
-    return frozenset(r["word"] for r in often.orderBy(F.desc("n"), "word").limit(most).collect())
+    often = materialise(one.groupBy("word").agg(F.count("*").alias("n")), "name_words")
+    names = (often.agg(F.sum("n")).first()[0] or 0) / 2
+    return frozenset(r["word"] for r in often.filter(F.col("n") >= max(fewest, share * names)).collect()) - TITLES - SUFFIXES
 
 
 def spans(df: DataFrame, given: frozenset[str], key: str = "id", name: str = "name", headline: str = "headline", source: str = "source") -> DataFrame:
-    """(id, place, kind, start, stop, votes, features) of every span that may be an item.
+    """(id, row, place, kind, start, stop, votes, features) of every span that may be an item; ``row`` is a hash of the row's four values.
 
     Numbers are read as they are written. Null values, and sources that aren't
     JSON objects, give nothing; what is redacted already is no item.
@@ -280,24 +284,25 @@ def spans(df: DataFrame, given: frozenset[str], key: str = "id", name: str = "na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             out: list[tuple] = []
 
-            def look(cid: str, place: str, text: str, key: str, parent: str, own: bool) -> None:
+            def look(whose: tuple, place: str, text: str, key: str, parent: str, own: bool) -> None:
                 for kind, start, stop, votes, features in finder.spans(text, key, parent, own):
                     code = 0
                     for v in votes:
                         code = code * 3 + v + 1
-                    out.append((cid, place, kind, start, stop, code, features))
+                    out.append((*whose, place, kind, start, stop, code, features))
 
-            for cid, n, h, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for cid, n, h, text, row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if cid is None:
                     continue
+                whose = cid, row
                 if n:
-                    look(cid, "name", n, "display", "", True)
+                    look(whose, "name", n, "display", "", True)
                 if h:
-                    look(cid, "headline", h, "prose", "", False)
+                    look(whose, "headline", h, "prose", "", False)
                 try:
                     record = json.loads(text)
                 except (TypeError, ValueError, RecursionError):
@@ -307,22 +312,21 @@ def spans(df: DataFrame, given: frozenset[str], key: str = "id", name: str = "na
                 for path, k, parent, v in _leaves(record):
                     if not isinstance(v, str):
                         if abs(v) < 1_000_000 or isinstance(v, float) and not v.is_integer():
-                            continue
+                            continue  # no item is a number of fewer than seven digits, or one with a fraction
                         v = str(int(v))
                     elif ("REDACTED" in v or " Redacted]" in v or " Omitted]" in v) and _REDACTED.search(v):
                         v = _REDACTED.sub(lambda m: " " * len(m.group()), v)
-                    own = not parent and k in NAME_KEYS
-                    sort = key_sort(k)
-                    if sort in ("label", "code", "link", "money") and not (parent == "" and sort == "label") and not _PLAIN.search(v):
-                        continue
-                    if sort == "link" and "://" in v:
-                        continue
-                    look(cid, "source." + path, v, "prose" if sort == "label" and parent == "" else k, parent, own)
+                    own, sort = not parent and k in NAME_KEYS, key_sort(k)
+                    prose = sort == "label" and parent == ""
+                    if "://" in v:  # a link is no item; what stands beside it is prose
+                        v = _LINK.sub(lambda m: " " * len(m.group()), v)
+                        prose = prose or sort == "link"
+                    look(whose, "source." + path, v, "prose" if prose else k, parent, own)
             cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _SPANS.split(", ")])
 
     columns = [F.col(c).cast("string") for c in (key, name, headline, source)]
-    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, _SPANS)
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.xxhash64(*columns).alias("row")).mapInArrow(run, _SPANS)
 
 
 # ---- reliabilities and the classifier ----------------------------------------------------------------------------
@@ -385,7 +389,7 @@ def classifier(votes: np.ndarray, features: list[str], p: np.ndarray, n: np.ndar
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def decide(counts: pd.DataFrame, least: float = 0.5) -> pd.DataFrame:
+def decide(counts: pd.DataFrame) -> pd.DataFrame:
     """(kind, votes, features, probability) for the counted rows (kind, votes, features, n)."""
     parts = []
     for _, part in counts.groupby("kind"):
@@ -399,10 +403,11 @@ _MODEL = "kind string, votes int, features string, n bigint, probability double"
 
 
 def found_spans(df: DataFrame, key: str = "id", name: str = "name", headline: str = "headline", source: str = "source", least: float = 0.5, most: int = 100_000) -> DataFrame:
-    """(id, place, kind, start, stop, probability) of the items.
+    """(id, row, place, kind, start, stop, probability) of the items.
 
     place is ``name``, ``headline`` or ``source.`` and the path of the string or
-    number. Null ids, null values and sources that aren't JSON objects give
+    number; ``row`` is a hash of the row that holds it, as rows of one id may
+    differ. Null ids, null values and sources that aren't JSON objects give
     nothing; repeated rows give one row; other columns don't matter, whatever
     their names. ``most`` guards the driver: it is far above the number of
     different vote patterns and features that the labelers can make.
@@ -415,19 +420,22 @@ def found_spans(df: DataFrame, key: str = "id", name: str = "name", headline: st
         raise ValueError("more vote patterns than the labelers can make")
     model = spark.createDataFrame(decide(counts)[["kind", "votes", "features", "n", "probability"]].values.tolist(), _MODEL)
     good = model.filter(F.col("probability") >= least).drop("n")
-    return every.join(F.broadcast(good), ["kind", "votes", "features"]).select("id", "place", "kind", "start", "stop", "probability").distinct()
+    return every.join(F.broadcast(good), ["kind", "votes", "features"]).select("id", "row", "place", "kind", "start", "stop", "probability").distinct()
 
 
 def redacted(df: DataFrame, items: DataFrame, key: str = "id", name: str = "name", headline: str = "headline", source: str = "source") -> DataFrame:
     """(id, name, headline, source) with the items of :func:`found_spans` replaced by typed placeholders, all else unchanged.
 
-    A number that is an item becomes a string. Rows whose ids have no items, and
-    sources that aren't JSON objects, stay as they are; the JSON of others is
-    written anew. Each row gives a row.
+    Each row gives a row, with the items of just that row. Placeholders are put
+    into the JSON text as it stands; a number that is an item becomes a string.
+    Rows without items, and sources that aren't JSON objects, stay as they are.
+    Only an object with a repeated key is written anew, with its last value, as
+    the others might hold items that nobody reads.
     """
-    lists = items.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("place", "kind", "start", "stop")).alias("__items"))
-    rows = df.select(*[F.col(c).cast("string").alias(n) for c, n in ((key, "id"), (name, "name"), (headline, "headline"), (source, "source"))])
-    joined = rows.join(lists, F.col("id") == F.col("__id"), "left").select("id", "name", "headline", "source", "__items")
+    lists = items.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("place", "kind", "start", "stop")).alias("__items"))
+    columns = [(F.col(c).cast("string"), n) for c, n in ((key, "id"), (name, "name"), (headline, "headline"), (source, "source"))]
+    rows = df.select(*[c.alias(n) for c, n in columns], F.xxhash64(*[c for c, _ in columns]).alias("__own"))
+    joined = rows.join(lists, F.col("__own") == F.col("__row"), "left").select("id", "name", "headline", "source", "__items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,29 +445,71 @@ def redacted(df: DataFrame, items: DataFrame, key: str = "id", name: str = "name
                 for x in found or ():
                     at.setdefault(x["place"], []).append((x["start"], x["stop"], x["kind"]))
                 inside = {p[7:]: v for p, v in at.items() if p.startswith("source.")}
-                out.append((cid, redact(n, at["name"]) if n and "name" in at else n, redact(h, at["headline"]) if h and "headline" in at else h, _redact_record(text, inside) if inside else text))
+                out.append((cid, redact(n, at["name"]) if n and "name" in at else n, redact(h, at["headline"]) if h and "headline" in at else h, redact_json(text, inside) if inside else text))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["id", "name", "headline", "source"])
 
     return joined.mapInArrow(run, "id string, name string, headline string, source string")
 
 
-def _redact_record(text: str, at: dict[str, list]) -> str:
-    """The JSON text with the strings and numbers at the given paths redacted."""
-    try:
+_JSON = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],]|[^\s{}\[\],:"]+', re.S)
+_LETTER = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|.", re.S)
+
+
+def leaf_places(text: str) -> dict[str, tuple[int, int]] | None:
+    """Where in a JSON text the string or number at each path stands, quotes included; None if a key is repeated."""
+    places: dict[str, tuple[int, int]] = {}
+    stack: list[list] = []  # (path, place in the array or None, key, keys so far)
+    for m in _JSON.finditer(text):
+        token = m.group()
+        top = stack[-1] if stack else None
+        if token in "}]":
+            stack.pop()
+        elif token == ",":
+            top[1], top[2] = (None, None) if top[1] is None else (top[1] + 1, None)
+        elif top is not None and top[1] is None and top[2] is None and token[0] == '"':
+            top[2] = json.loads(token)
+            if top[2] in top[3]:
+                return None
+            top[3].add(top[2])
+        else:
+            path = "" if top is None else f"{top[0]}[{top[1]}]" if top[1] is not None else f"{top[0]}.{top[2]}" if top[0] else top[2]
+            if token in "{[":
+                stack.append([path, 0 if token == "[" else None, None, set()])
+            else:
+                places[path] = m.span()
+    return places
+
+
+def redact_json(text: str, at: dict[str, list]) -> str:
+    """The JSON text with the strings and numbers at the given paths redacted, every other character as it was."""
+    places = leaf_places(text)
+    if places is None:
         record = json.loads(text)
-    except (TypeError, ValueError, RecursionError):
-        return text
-    stack: list[tuple[str, object]] = [("", record)]
-    while stack:
-        path, v = stack.pop()
-        for k, x in v.items() if isinstance(v, dict) else enumerate(v):
-            own = f"{path}[{k}]" if isinstance(v, list) else f"{path}.{k}" if path else k
-            if isinstance(x, (dict, list)):
-                stack.append((own, x))
-            elif own in at:
-                v[k] = redact(x if isinstance(x, str) else str(int(x)), at[own])
-    return json.dumps(record, ensure_ascii=False)
+        stack: list[tuple[str, object]] = [("", record)]
+        while stack:
+            path, v = stack.pop()
+            for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+                own = f"{path}[{k}]" if isinstance(v, list) else f"{path}.{k}" if path else k
+                if isinstance(x, (dict, list)):
+                    stack.append((own, x))
+                elif own in at:
+                    v[k] = redact(x if isinstance(x, str) else str(int(x)), at[own])
+        return json.dumps(record, ensure_ascii=False)
+    for path, (start, stop) in sorted(((p, places[p]) for p in at if p in places), key=lambda x: -x[1][0]):
+        raw = text[start:stop]
+        if raw[0] != '"':
+            raw = json.dumps(redact(str(int(json.loads(raw))), at[path]))
+        else:
+            inner = raw[1:-1]
+            if "\\" in inner:  # places count characters, some of which are written as escapes
+                edges = [m.start() for m in _LETTER.finditer(inner)] + [len(inner)]
+                items = [(edges[a], edges[b], kind) for a, b, kind in at[path]]
+            else:
+                items = at[path]
+            raw = f'"{redact(inner, items)}"'
+        text = text[:start] + raw + text[stop:]
+    return text
 
 
 def redact(text: str, items: list[tuple[int, int, str]]) -> str:
