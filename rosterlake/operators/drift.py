@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators.nested import kind_of
+from rosterlake.session import materialise
 
 #: Most rows of a table that is broadcast; its size is counted first.
 BROADCAST_ROWS = 200_000
@@ -104,7 +105,7 @@ def _files(requests: DataFrame) -> DataFrame:
     )
 
 
-def changes(every: DataFrame, requests: DataFrame, alike: float = 0.28) -> DataFrame:
+def changes(every: DataFrame, requests: DataFrame, alike: float = 0.28, renames: bool = True) -> DataFrame:
     """Each change of a feed's schema with the file that brought it.
 
     (feed, request_id, change, field_name, new_name), change being ``added``,
@@ -113,27 +114,30 @@ def changes(every: DataFrame, requests: DataFrame, alike: float = 0.28) -> DataF
     ``alike`` (cosine of their value profiles); each name is used once, the
     most alike pair first. Files of a feed exported at the same instant are
     ordered by request_id; a file without readable records has no field.
+    Without ``renames`` such pairs stay an added and a removed field.
 
     The windows run over one row per (file, field), thousands of times fewer
     than records, and stream in order, so a feed that holds a third of all
     files needs no memory of its size.
     """
-    from rosterlake.session import materialise
-
-    schemas = materialise(file_schemas(every, requests), "drift")
-    files = _files(requests)
-    placed = schemas.select("request_id", "field_name", "kind").join(files, "request_id")
+    files = materialise(_files(requests), "files")
+    schemas = file_schemas(every, requests).select("request_id", "field_name", "kind")
+    placed = materialise(schemas.join(files, "request_id"), "placed")
     order = Window.partitionBy("feed", "field_name").orderBy("place")
     lag = placed.withColumn("before", F.lag("kind").over(order))
     retyped = lag.filter(F.col("before").isNotNull() & (F.col("before") != F.col("kind"))).select(
         "feed", "request_id", F.lit("type_changed").alias("change"), "field_name", F.lit("").alias("new_name")
     )
-    span = placed.groupBy("feed", "field_name").agg(
+    span = materialise(placed.groupBy("feed", "field_name").agg(
         F.min(F.struct("place", "request_id")).alias("start"),
         F.max(F.struct("place", "request_id", "next_request")).alias("end"),
-    )
+    ), "spans")
     added = span.filter("start.place > 1").select("feed", "field_name", F.col("start.request_id").alias("request_id"), F.col("start.request_id").alias("seen_in"))
     removed = span.filter("end.next_request is not null").select("feed", "field_name", F.col("end.next_request").alias("request_id"), F.col("end.request_id").alias("seen_in"))
+    if not renames:
+        both = ((added, "added"), (removed, "removed"))
+        plain = [x.select("feed", "request_id", F.lit(what).alias("change"), "field_name", F.lit("").alias("new_name")) for x, what in both]
+        return plain[0].unionByName(plain[1]).unionByName(retyped)
     renamed = materialise(_renamed(every, added, removed, alike), "renamed")
     new = added.join(renamed.select("feed", "request_id", F.col("new_name").alias("field_name")), ["feed", "request_id", "field_name"], "left_anti")
     old = removed.join(renamed.select("feed", "request_id", "field_name"), ["feed", "request_id", "field_name"], "left_anti")
@@ -147,6 +151,7 @@ def changes(every: DataFrame, requests: DataFrame, alike: float = 0.28) -> DataF
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS, _DIGITS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 
 
 def _class(text: str) -> str:
@@ -161,8 +166,17 @@ def _class(text: str) -> str:
     return f"prose{min(6, len(text).bit_length())}"
 
 
+#: What all words of a string count for together at most, and what its shape does.
+WORDS, SHAPE = 40.0, 2.0
+
+
 def profile(value) -> Counter:
-    """Features of a value's content: structure, character shape, words."""
+    """Features of a value's content: structure, character shape, words.
+
+    The whole of every string counts. So that long texts don't outweigh short
+    ones, all words of one share a weight of ``WORDS`` if there are more, and
+    the pieces of its shape share one of ``SHAPE``.
+    """
     out: Counter = Counter()
     stack = [("", value)]
     while stack:
@@ -174,11 +188,15 @@ def profile(value) -> Counter:
         elif isinstance(x, list):
             stack.extend((at + "[]", v) for v in x)
         elif isinstance(x, str):
-            shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", x[:60])))
-            out[f"s{at}{shape[:12]}"] += 2
+            shape = _RUN.sub(r"\1", _DIGITS.sub("9", _LETTERS.sub("a", x)))
+            pieces = [shape[i : i + 12] for i in range(0, len(shape), 12)] or [""]
+            for piece in pieces:
+                out[f"s{at}{piece}"] += SHAPE / len(pieces)
             out["c" + _class(x)] += 4
-            for w in _WORD.findall(x.lower())[:40]:
-                out["w" + w] += 1
+            found = _WORD.findall(x.lower())
+            weight = min(1.0, WORDS / max(1, len(found)))
+            for w in found:
+                out["w" + w] += weight
         elif x is not None:
             out[f"{kind_of(x)}{at}{len(str(x)) if not isinstance(x, bool) else ''}"] += 2
     return out
@@ -212,11 +230,11 @@ def _renamed(every: DataFrame, added: DataFrame, removed: DataFrame, alike: floa
             rows = [(rid, name, f, n) for (rid, name), got in sums.items() for f, n in got.items()]
             if rows:
                 a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d, pa.int64())], ["seen_in", "field_name", "feature", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d, pa.float64())], ["seen_in", "field_name", "feature", "n"])
 
     vectors = (
-        texts.select("request_id", "record", "names").mapInArrow(profiles, "seen_in bigint, field_name string, feature string, n bigint")
-        .groupBy("seen_in", "field_name", "feature").agg(F.sum("n").cast("double").alias("n"))
+        texts.select("request_id", "record", "names").mapInArrow(profiles, "seen_in bigint, field_name string, feature string, n double")
+        .groupBy("seen_in", "field_name", "feature").agg(F.sum("n").alias("n"))
         .groupBy("seen_in", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("feature", "n"))).alias("vector"))
     )
     ends = ends.join(vectors, ["seen_in", "field_name"])
