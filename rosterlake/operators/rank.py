@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text, verdicts
+from rosterlake.functions.credentials import redacted
 from rosterlake.functions.scrub import scrubbed
 
+#: Fixed value: what stands in a prompt where there are no records.
 EMPTY_POOL = "The candidate pool is empty. No records have been imported yet."
 
 
@@ -33,11 +35,18 @@ def rendered(handle_: Column, name: Column, record: Column) -> Column:
 def context(records: DataFrame, group: str, place: str, rendered_: str) -> DataFrame:
     """(group, context): the rendered records of a group in order, an empty line between them.
 
-    Meant for groups that fit a prompt; records are scrubbed one by one before
-    they are joined.
+    Meant for groups that fit a prompt. Records are made safe one by one before
+    they are joined: credentials are replaced first, then identifiers.
     """
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(place, rendered_))), lambda x: x[rendered_])
-    return records.groupBy(group).agg(F.array_join(parts, "\n\n").alias("context"))
+    safe = scrubbed(records.select(group, place, redacted(F.col(rendered_)).alias("text")), "text", into="safe").select(group, place, "safe")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(place, "safe"))), lambda x: x["safe"])
+    return safe.groupBy(group).agg(F.array_join(parts, "\n\n").alias("context"))
+
+
+def context_or_empty(groups: DataFrame, contexts: DataFrame, group: str) -> DataFrame:
+    """(group, context) of every group; one without records has the fixed sentence."""
+    known = groups.select(group).distinct().join(contexts, group, "left")
+    return known.select(group, F.coalesce("context", F.lit(EMPTY_POOL)).alias("context"))
 
 
 def roster(records: DataFrame, group: str, place: str, name: str, most: int = 8) -> DataFrame:
@@ -71,7 +80,6 @@ def rankings(payloads: DataFrame, keys: list[str], payload: str) -> DataFrame:
     no numbers count as 0, others are held between 0 and 1; unknown verdicts are
     MAYBE.
     """
-    payloads.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     found = payloads.select(*keys, F.try_parse_json(payload_object(F.col(payload))).alias("v"))
     rows = found.select(*keys, F.posexplode(F.try_variant_get("v", "$.rankings", "array<variant>")).alias("position", "r"))
     field = lambda name, kind: F.try_variant_get("r", f"$.{name}", kind)

@@ -39,16 +39,17 @@ def norms(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def scores(docs: DataFrame, key: str, body: str, questions: DataFrame, question_key: str = "question_id", question: str = "question") -> DataFrame:
+def scores(docs: DataFrame, key: str, body: str, questions: DataFrame, question_key: str = "question_id", question: str = "question", total: int | None = None) -> DataFrame:
     """(question_id, key, score) of every document that shares a term with a question.
 
     A document's norm comes from its own row, so only occurrences of the
     questions' terms are shuffled. Empty documents count in n. Scores are
     rounded to 9 places, which makes them independent of the order of summing.
-    Null documents and blank questions give no rows.
+    Null documents and blank questions give no rows. ``total`` is the number of
+    documents, where it is cheaper known than counted.
     """
     asked = questions.select(F.col(question_key).alias("question_id"), F.explode(F.array_distinct(text.terms(F.col(question)))).alias("term"))
-    n = docs.count()
+    n = docs.count() if total is None else total
     # in steps: an expression beside an explode would be computed for every exploded row
     counted = docs.select(F.col(key), text.terms(F.col(body)).alias("terms")).select(key, "terms", _norm(F.col("terms")).alias("norm"))
     rows = counted.select(key, "norm", F.explode("terms").alias("term"))

@@ -87,8 +87,18 @@ def last_turns(messages: DataFrame, conversation: str, order: list[str], keep: i
     return tail.withColumn("turn", F.row_number().over(on))
 
 
-def checked_messages(messages: DataFrame, role: str, content: str, longest: int = 8_000) -> DataFrame:
-    """``messages`` with ``reason``: why a message is refused, null if it is good."""
+#: The longest text of a turn and of a new message, and the most turns that are sent along.
+LONGEST_TURN, LONGEST_MESSAGE, MOST_TURNS = 8_000, 4_000, 20
+
+
+def checked_histories(messages: DataFrame, conversation: str, most: int = MOST_TURNS) -> DataFrame:
+    """(conversation, n_turns, reason): why a conversation can't be sent along, null if it can."""
+    counts = messages.groupBy(conversation).agg(F.count("*").alias("n_turns"))
+    return counts.withColumn("reason", F.when(F.col("n_turns") > most, "too many turns"))
+
+
+def checked_messages(messages: DataFrame, role: str, content: str, longest: int = LONGEST_TURN) -> DataFrame:
+    """``messages`` with ``reason``: why a turn is refused, null if it is good; a new message has ``LONGEST_MESSAGE``."""
     size = F.length(content)
     reason = (
         F.when(F.col(role).isNull() | ~F.col(role).isin("user", "model"), "role")

@@ -1,5 +1,9 @@
 """SQL that several queries share."""
 
+from __future__ import annotations
+
+from rosterlake.functions.text import SPACE, STOPWORDS
+
 NEWEST = """
 pool AS (
   SELECT id, name, headline, source, imported_at, score, recommendation, rationale, analyzed_at, request_id, record_no, feed
@@ -8,7 +12,7 @@ pool AS (
     FROM candidates WHERE id IS NOT NULL) WHERE rn = 1
 )"""
 
-STOP = "'" + "','".join("a an and are as at be been by for from has have in is it its of on or that the to was were will with".split()) + "'"
+STOP = "'" + "','".join(STOPWORDS) + "'"
 
 
 def terms(text: str) -> str:
@@ -21,8 +25,6 @@ postings AS (SELECT doc_id, term, count(*) AS tf FROM docs GROUP BY ALL),
 norms AS (SELECT doc_id, sqrt(sum((1 + ln(tf)) * (1 + ln(tf)))) AS norm FROM postings GROUP BY doc_id),
 freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 
-SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
 
 def strip(text: str) -> str:
     return f"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text, verdicts
-from rosterlake.operators import rank, views
+from rosterlake.operators import order, rank, views
 from rosterlake.plans.common import NEWEST, SPACE, strip
 from rosterlake.session import table
 from rosterlake.sources import pool as source
@@ -21,12 +21,12 @@ def _pool(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def pool_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The pool, best first, unscored last."""
-    return views.summary(_pool(spark, d, *views.SUMMARY)).orderBy(*views.pool_order())
+    return order.ranked(views.summary(_pool(spark, d, *views.SUMMARY)), views.pool_order())
 
 
 def pool_ranked_plain(spark: SparkSession, d: str) -> DataFrame:
     """The pool where unscored rows count as 0."""
-    return _pool(spark, d, "score").select("id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(*views.plain_order())
+    return order.ranked(_pool(spark, d, "score").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), views.plain_order())
 
 
 def pool_head(spark: SparkSession, d: str) -> DataFrame:
@@ -35,9 +35,10 @@ def pool_head(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pool_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """All there is about the candidates whose request is the first one of the pool; the filter reaches the scan."""
-    rows = table(spark, d, "candidates").filter(F.col("request_id") == 1)
-    return rows.select("id", "name", "headline", "feed", "record_no").distinct()
+    """All rows of one candidate, by its id; the filter reaches the scan."""
+    candidates = table(spark, d, "candidates")
+    wanted = candidates.agg(F.min("id")).first()[0]
+    return candidates.filter(F.col("id") == F.lit(wanted)).select("id", "name", "headline", "feed", "record_no").distinct()
 
 
 def pool_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +59,6 @@ def pool_search(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_display_rank(spark: SparkSession, d: str) -> DataFrame:
     """Places within a filtered view."""
-    from rosterlake.operators import order
-
     seen = views.search(views.with_verdict(_pool(spark, d, "name", "headline", "rationale", "score", "recommendation"), "INTERVIEW"), SOUGHT).select("id", "name", "score")
     return order.ranked(seen, views.pool_order()).select("id", "rank")
 
@@ -105,11 +104,10 @@ def prompt_roster(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    """The size of each file's prompt and its number of records."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """The size of each file's prompt, made safe record by record, and its number of records; files without records have the fixed sentence."""
     once = table(spark, d, "candidates").groupBy("request_id", "record_no").agg(F.min(F.struct("name", "source")).alias("r"))
     parts = once.select("request_id", "record_no", rank.rendered(rank.handle(F.col("record_no")), F.col("r.name"), F.col("r.source")).alias("part"))
-    joined = rank.context(parts, "request_id", "record_no", "part")
+    joined = rank.context_or_empty(table(spark, d, "import_requests"), rank.context(parts, "request_id", "record_no", "part"), "request_id")
     return joined.select("request_id", F.length("context").alias("n_chars"), F.regexp_count("context", F.lit("### Candidate C")).alias("n_records"))
 
 
@@ -171,9 +169,16 @@ def import_summary(spark: SparkSession, d: str) -> DataFrame:
     return import_pool(spark, d).groupBy("request_id").agg(F.count("*").alias("imported"), F.count_if("held_pii").alias("redacted"))
 
 
+def import_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What one import of all pending files brings, and the size of the pool after it."""
+    pending = table(spark, d, "import_requests").filter((F.col("status") == "pending") & F.col("candidates").isNotNull())
+    once = pending.groupBy("request_id").agg(F.min("candidates").alias("body"))
+    _, totals, _ = source.imported(_pool(spark, d, "feed"), once, "request_id", "body", NOW)
+    return totals.select("imported", "total")
+
+
 def pool_export(spark: SparkSession, d: str) -> DataFrame:
     """Every record, ready to be imported again."""
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return source.export(_pool(spark, d, "source"))
 
 
@@ -186,7 +191,13 @@ def history_tail(spark: SparkSession, d: str) -> DataFrame:
 def message_validate(spark: SparkSession, d: str) -> DataFrame:
     """Why each document would be refused as a message."""
     docs = table(spark, d, "documents").withColumn("role", F.when(F.col("doc_type") == "forum_post", "user").when(F.col("doc_type") == "interview_note", "model").otherwise("system"))
-    return views.checked_messages(docs, "role", "text", longest=1000).select("doc_id", "reason")
+    return views.checked_messages(docs, "role", "text").select("doc_id", "reason")
+
+
+def history_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Forums as conversations: how many turns, and which are too long to be sent."""
+    posts = table(spark, d, "documents").filter("doc_type = 'forum_post'")
+    return views.checked_histories(posts, "source")
 
 
 QUERIES = {
@@ -194,7 +205,7 @@ QUERIES = {
     for f in (
         pool_ranked, pool_ranked_plain, pool_head, pool_lookup, pool_delete, pool_filter_verdict, pool_search, pool_display_rank, pool_analysed, pool_cards,
         pool_caps, verdict_counts, pool_status, verdicts_normalised, assign_handles, prompt_roster, prompt_context, richness_rank, parse_rankings, unknown_handles,
-        apply_rankings, analysis_tally, baseline_join, import_envelope, import_pool, import_summary, pool_export, history_tail, message_validate,
+        apply_rankings, analysis_tally, baseline_join, import_envelope, import_pool, import_summary, pool_export, history_tail, message_validate, history_validate, import_totals,
     )
 }
 
@@ -209,7 +220,7 @@ rows_ AS (SELECT payload_id, request_id, created_at, r.value AS r, CAST(r.key AS
   WHERE json_type(j, '$.rankings') = 'ARRAY'),
 rankings AS (SELECT payload_id, request_id, created_at, position, r->>'$.id' AS handle,
   greatest(0.0, least(1.0, coalesce(TRY_CAST(r->>'$.score' AS DOUBLE), 0.0))) AS score,
-  replace(upper({strip("coalesce(r->>'$.verdict', '')")}), ' ', '_') AS v FROM rows_ WHERE json_type(r) = 'OBJECT' AND coalesce(r->>'$.id', '') NOT IN ('', '0', 'false'))"""
+  replace(upper({strip("coalesce(r->>'$.verdict', '')")}), ' ', '_') AS v, r FROM rows_ WHERE json_type(r) = 'OBJECT' AND coalesce(r->>'$.id', '') NOT IN ('', '0', 'false'))"""
 _HANDLES = "handles AS (SELECT DISTINCT request_id, 'C' || (record_no + 1) AS handle, id FROM candidates)"
 _APPLIED = f"""WITH {NEWEST}, {_OBJECT}, {_HANDLES},
 last_ AS (SELECT * FROM rankings QUALIFY row_number() OVER (PARTITION BY request_id, handle ORDER BY created_at DESC, payload_id DESC, position DESC) = 1),
@@ -219,10 +230,10 @@ done AS (SELECT pool.id, CASE WHEN new_.id IS NULL THEN pool.score ELSE new_.sco
   CASE WHEN new_.id IS NULL THEN analyzed_at ELSE {NOW} END AS analyzed_at, new_.id IS NOT NULL AS applied FROM pool LEFT JOIN new_ ON pool.id = new_.id)"""
 
 SQL = {
-    "pool_ranked": f"WITH {NEWEST} SELECT id, name, headline, imported_at, score, recommendation, rationale, analyzed_at FROM pool",
-    "pool_ranked_plain": f"WITH {NEWEST} SELECT id, coalesce(score, 0.0) AS score FROM pool",
+    "pool_ranked": f"WITH {NEWEST} SELECT id, name, headline, imported_at, score, recommendation, rationale, analyzed_at, row_number() OVER (ORDER BY score DESC NULLS LAST, lower(name) NULLS FIRST, id) AS rank FROM pool",
+    "pool_ranked_plain": f"WITH {NEWEST} SELECT id, coalesce(score, 0.0) AS score, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, id) AS rank FROM pool",
     "pool_head": f"WITH {NEWEST} SELECT id, name FROM pool ORDER BY id LIMIT 200",
-    "pool_lookup": "SELECT DISTINCT id, name, headline, feed, record_no FROM candidates WHERE request_id = 1",
+    "pool_lookup": "SELECT DISTINCT id, name, headline, feed, record_no FROM candidates WHERE id = (SELECT min(id) FROM candidates)",
     "pool_delete": f"WITH {NEWEST} SELECT id, recommendation FROM pool WHERE recommendation IS DISTINCT FROM 'PASS'",
     "pool_filter_verdict": f"WITH {NEWEST} SELECT id, name, score FROM pool WHERE recommendation = 'INTERVIEW'",
     "pool_search": f"WITH {NEWEST} SELECT id, name FROM pool WHERE contains(lower(coalesce(name, '')), '{SOUGHT}') OR contains(lower(coalesce(headline, '')), '{SOUGHT}') OR contains(lower(coalesce(rationale, '')), '{SOUGHT}')",
@@ -251,7 +262,13 @@ SELECT id, CASE WHEN one.name IS NULL THEN score ELSE s END AS score, CASE WHEN
     "import_envelope": """WITH once AS (SELECT request_id, TRY_CAST(min(candidates) AS JSON) AS j FROM import_requests WHERE status = 'pending' AND candidates IS NOT NULL GROUP BY ALL),
 n AS (SELECT request_id, coalesce(CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) ELSE json_array_length(j, '$.candidates') END, 0) AS n FROM once)
 SELECT request_id, CAST(n AS BIGINT) AS n_records, CASE WHEN n < 1 THEN 'empty' WHEN n > 2000 THEN 'too many records' END AS reason FROM n""",
+    "import_totals": f"""WITH {NEWEST}, once AS (SELECT request_id, TRY_CAST(min(candidates) AS JSON) AS j FROM import_requests WHERE status = 'pending' AND candidates IS NOT NULL GROUP BY ALL),
+items AS (SELECT request_id, unnest(CAST(CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE j->'$.candidates' END AS JSON[])) AS r FROM once WHERE j IS NOT NULL),
+n AS (SELECT count(*) AS imported FROM items WHERE json_type(r) = 'OBJECT') SELECT imported, imported + (SELECT count(*) FROM pool) AS total FROM n""",
+    "pool_export": f"WITH {NEWEST} SELECT id, source AS record FROM pool WHERE json_valid(source)",
+    "parse_rankings": f"""WITH {_OBJECT} SELECT payload_id, request_id, position, handle, score, {_NORMAL} AS verdict, left({strip("coalesce(r->>'$.rationale', '')")}, 1000) AS rationale FROM rankings""",
+    "history_validate": """SELECT source, count(*) AS n_turns, CASE WHEN count(*) > 20 THEN 'too many turns' END AS reason FROM documents WHERE doc_type = 'forum_post' GROUP BY source""",
     "history_tail": """WITH x AS (SELECT source, doc_id, collected_at, row_number() OVER (PARTITION BY source ORDER BY collected_at DESC, doc_id DESC) AS b FROM documents WHERE doc_type = 'forum_post')
 SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY collected_at, doc_id) AS INTEGER) AS turn FROM x WHERE b <= 10""",
-    "message_validate": f"""SELECT doc_id, CASE WHEN doc_type IS NULL OR doc_type NOT IN ('forum_post', 'interview_note') THEN 'role' WHEN text IS NULL OR {strip('text')} = '' THEN 'blank' WHEN length(text) > 1000 THEN 'too long' END AS reason FROM documents""",
+    "message_validate": f"""SELECT doc_id, CASE WHEN doc_type IS NULL OR doc_type NOT IN ('forum_post', 'interview_note') THEN 'role' WHEN text IS NULL OR {strip('text')} = '' THEN 'blank' WHEN length(text) > 8000 THEN 'too long' END AS reason FROM documents""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import text
 from rosterlake.functions.scrub import flatten, json_column
-from rosterlake.operators import order, retrieve, views
+from rosterlake.operators import answer, order, retrieve, views
 from rosterlake.plans.common import NEWEST, POSTINGS, terms
 from rosterlake.session import table
 
@@ -47,12 +47,20 @@ def retrieve_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 def candidate_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """The twelve candidates most relevant to a question, with their names, in order."""
     pool = views.newest(table(spark, d, "candidates"), "name", "headline", "source")
+    total = views.newest(table(spark, d, "candidates"), "name").count()  # without flattening any record
     flat = json_column(pool, "source", "flat", lambda v: flatten(v))
     docs = flat.select("id", "name", retrieve.document_text(F.col("name"), F.col("headline"), F.col("flat")).alias("body"))
-    best = retrieve.best(retrieve.scores(docs, "id", "body", _asked(spark, "security analyst with Kafka and incident response")), "id")
+    best = retrieve.best(retrieve.scores(docs, "id", "body", _asked(spark, "security analyst with Kafka and incident response"), total=total), "id")
     return best.join(pool.select("id", "name"), "id").select("id", "name", "score", "rank")
 
 
+def answer_considered(spark: SparkSession, d: str) -> DataFrame:
+    """What each question was answered from: the ids in order, and how many; the head of the pool where nothing matches."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("name"), F.lit("{}").alias("source"), F.col("text").alias("body"))
+    rows = answer.prompts(docs, _asked(spark, QUESTION, NOTHING))
+    return rows.select("question_id", F.array_join("considered", " ").alias("considered"), F.size("considered").alias("n"), "backend")
+
+
 def scope_sentence(spark: SparkSession, d: str) -> DataFrame:
     """What part of the pool each question was answered from."""
     docs = table(spark, d, "documents")
@@ -103,7 +111,7 @@ def pool_rank(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieve_topk, retrieve_batch, retrieve_with_fallback, candidate_retrieve, scope_sentence, tokenize_stats, doc_frequency, doc_norms,
+        retrieve_topk, retrieve_batch, retrieve_with_fallback, candidate_retrieve, answer_considered, scope_sentence, tokenize_stats, doc_frequency, doc_norms,
         semantic_topk, sync_diff, pool_rank,
     )
 }
@@ -129,6 +137,10 @@ SQL = {
 head AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 12)
 SELECT CAST(question_id AS BIGINT) AS question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits UNION ALL
 SELECT CAST(question_id AS BIGINT), doc_id, 0.0, CAST(rank AS INTEGER) FROM head, questions WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.question_id = questions.question_id)""",
+    "answer_considered": f"""WITH {POSTINGS}, {_scored(_TWO)}, hits AS (SELECT question_id, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 12),
+head AS (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS rank FROM documents QUALIFY rank <= 12),
+every AS (SELECT * FROM hits UNION ALL SELECT question_id, id, rank FROM head, questions q WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.question_id = q.question_id))
+SELECT CAST(question_id AS BIGINT) AS question_id, string_agg(id, ' ' ORDER BY rank) AS considered, CAST(count(*) AS INTEGER) AS n, 'local' AS backend FROM every GROUP BY question_id""",
     "scope_sentence": f"""WITH {POSTINGS}, {_scored(_TWO)}, n AS (SELECT question_id, count(*) AS n FROM best WHERE rank <= 12 GROUP BY ALL)
 SELECT CAST(question_id AS BIGINT) AS question_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN n || ' most relevant of a pool of ' || (SELECT count(*) FROM documents)
 ELSE 'whole pool of ' || (SELECT count(*) FROM documents) END AS scope FROM questions LEFT JOIN n USING (question_id)""",

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
+    # of a repeated key the last value holds
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -32,12 +34,15 @@ def build_session(master: str | None = None, app: str = "rosterlake", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none, as in tests on one machine, is a
-    temporary folder chosen and set as the checkpoint folder.
+    Only where none is named and the session runs on one machine, as in tests,
+    is a temporary folder chosen and set as the checkpoint folder. On a cluster
+    executors could not read it, so there its lack is an error.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
         found = "file://" + tempfile.mkdtemp(prefix="rosterlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -75,8 +80,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and set what JSON with repeated keys needs."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)

@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 from rosterlake.functions import credentials as secret
 from rosterlake.functions import scrub, text
+from rosterlake.operators.retrieve import sync_plan
+from rosterlake.session import materialise
 
 #: Keys that a name or a headline stands under, in the order in which they are tried, and the stand-in for a name.
 NAME_KEYS = ("name", "full_name", "fullName", "candidate_name", "displayName", "username")
@@ -118,8 +120,7 @@ def ingest(records: DataFrame, keys: list[str], record: str, imported_at: int, g
     """Records as rows of the pool, with their keys and ``held_pii``.
 
     The id is derived from the keys, so importing a file again gives the same
-    rows. Texts that aren't JSON objects, or that nest about a thousand deep,
-    give nothing.
+    rows. Texts that give no row are those of :func:`rejected`.
     """
     schema = StructType([*[records.schema[k] for k in keys], *StructType.fromDDL("id string, name string, headline string, source string, held_pii boolean").fields])
 
@@ -150,6 +151,43 @@ def ingest(records: DataFrame, keys: list[str], record: str, imported_at: int, g
     return rows.withColumn("imported_at", F.lit(imported_at).cast("bigint")).withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
 
 
+def rejected(records: DataFrame, keys: list[str], record: str) -> DataFrame:
+    """(keys, reason) of the records that :func:`ingest` leaves out: null, not JSON, no object, or nested too deep for a JSON reader."""
+    schema = StructType([*[records.schema[k] for k in keys], *StructType.fromDDL("reason string").fields])
+
+    def why(raw: str | None) -> str | None:
+        try:
+            got = json.loads(raw)
+            json.dumps(got)
+        except RecursionError:
+            return "too deep"
+        except (TypeError, ValueError):
+            return "null" if raw is None else "not JSON"
+        return None if isinstance(got, dict) else "no object"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = [why(raw) for raw in batch.column(len(keys)).to_pylist()]
+            at = pa.array([i for i, r in enumerate(reasons) if r], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), pa.array([r for r in reasons if r], pa.string())], [*keys, "reason"])
+
+    return records.select(*keys, record).mapInArrow(run, schema)
+
+
+def imported(pool: DataFrame, bodies: DataFrame, key: str, body: str, imported_at: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One import of any number of files: (rows to append, totals, sync plan of an index that holds the pool).
+
+    totals is one row: the records imported, those that held identifiers or
+    credentials, and the size of the pool afterwards. The rows are written out
+    once, so that appending, counting and syncing don't scrub them again.
+    """
+    rows = materialise(ingest(unpack(bodies, key, body), [key, "record_no"], "record", imported_at), "imported")
+    after = pool.select("id").union(rows.select("id"))
+    total = after.agg(F.count_distinct("id")).first()[0]
+    totals = rows.agg(F.count("*").alias("imported"), F.count_if("held_pii").alias("redacted"), F.lit(total).alias("total"))
+    return rows, totals, sync_plan(after, pool)
+
+
 def delete(pool: DataFrame, gone: DataFrame) -> DataFrame:
     """The pool without the given ids."""
     return pool.join(gone.select("id").distinct(), "id", "left_anti")
