@@ -151,11 +151,11 @@ def entities(names: DataFrame, column: str) -> DataFrame:
 
 
 def _shorter(token: str) -> list[str]:
-    """The token and the token with one letter left out, each as a form with the place that was left."""
-    return [token, *{token[:i] + token[i + 1 :] for i in range(len(token))}]
+    """The token and the token with one letter left out. Very long ones, which no name is, stand for themselves alone."""
+    return [token, *({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) <= LONGEST else ())]
 
 
-#: Longer words aren't names; they get no misspelt forms.
+#: Words of more letters are no names; they get no misspelt forms.
 LONGEST = 64
 _FORM = "form bigint, way string, entity bigint, token string"
 
@@ -185,17 +185,17 @@ def forms(found: DataFrame, known: DataFrame) -> DataFrame:
                         for token, other, right in ((a, b, right_b), (b, a, right_a)):
                             out.append((_hash(f"{other}|{token}"), "plain", entity, token))
                             out.extend((_hash(f"{other}|{full}"), "nick", entity, token) for full in _NICK.get(token, ()))
-                            if 4 <= len(token) <= LONGEST:
+                            if len(token) >= 4:
                                 short, meant = _shorter(token), (other, *_NICK.get(other, ()), *((right,) if right else ()))
                                 out.extend((_hash(f"{m}|{s}"), "typo", entity, token) for m in meant for s in short)
                                 out.extend((_hash(f"{i}|{s}"), "slip", entity, token) for i in {m[0] for m in meant} for s in short)
                             out.extend((_hash(f"{other}|{i}"), "initial", entity, token) for i in {token[0], *(n[0] for n in _NICK.get(token, ()))})
                     elif kind == "initial":
                         out.append((_hash(f"{a}|{initial}"), "initial", entity, a))
-                        if 5 <= len(a) <= LONGEST:
+                        if len(a) >= 5:
                             out.extend((_hash(f"{initial}|{s}"), "slip", entity, a) for s in _shorter(a))
                     elif kind == "agency":
-                        out.extend((_hash(f"{b}|{s}"), "typo", entity, a) for s in (_shorter(a) if len(a) <= LONGEST else (a,)))
+                        out.extend((_hash(f"{b}|{s}"), "typo", entity, a) for s in _shorter(a))
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in range(4)]
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["form", "way", "entity", "token"])
@@ -211,7 +211,7 @@ def misspelt(often: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(_hash(s), t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if 4 <= len(t) <= LONGEST for s in _shorter(t)]
+            rows = [(_hash(s), t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(t) >= 4 for s in _shorter(t)]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["form", "token", "n"])
 
@@ -225,6 +225,15 @@ def misspelt(often: DataFrame) -> DataFrame:
 OFTENER = 5
 
 
+#: A rewriting links if more than this of what it could stand for is one person.
+RARE = 0.5
+
+
+def rare(met: DataFrame) -> DataFrame:
+    """Rows whose rewriting is rare enough, with ``score``: one over ``k``, the number of people that it could stand for."""
+    return met.withColumn("score", 1 / F.col("k")).filter(F.col("score") > RARE)
+
+
 def people(df: DataFrame, column: str = "name") -> DataFrame:
     """(person, name): every distinct value that names somebody, with a number of whom it names.
 
@@ -241,11 +250,11 @@ def people(df: DataFrame, column: str = "name") -> DataFrame:
     # a nickname with one family name is a link if just one of the names it stands for exists with it
     plain = rewritten.filter("way = 'plain'").select("form", F.col("entity").alias("to"))
     short = rewritten.filter("way = 'nick'").select("form", "entity")
-    hits = short.join(plain, "form").filter("entity != to").groupBy("entity").agg(F.collect_set("to").alias("tos"))
-    by_nick = hits.filter(F.size("tos") == 1).select("entity", F.col("tos")[0].alias("to"))
+    hits = short.join(plain, "form").filter("entity != to").groupBy("entity").agg(F.min("to").alias("to"), F.count_distinct("to").alias("k"))
+    by_nick = rare(hits).select("entity", "to")
     # two nicknames of one name, where the name itself doesn't occur
-    twins = short.join(plain.select("form"), "form", "left_anti").groupBy("form").agg(F.collect_set("entity").alias("all"))
-    by_twin = twins.filter(F.size("all") > 1).select(F.explode("all").alias("entity"), F.array_min("all").alias("to")).filter("entity != to")
+    lone = short.join(plain.select("form"), "form", "left_anti")
+    by_twin = lone.join(lone.groupBy("form").agg(F.min("entity").alias("to")), "form").select("entity", "to").filter("entity != to").distinct()
 
     # one edit apart with the other token alike
     typo = rewritten.filter("way = 'typo'").select("form", "entity", "token")
@@ -264,7 +273,8 @@ def people(df: DataFrame, column: str = "name") -> DataFrame:
 
     # an initial is a link if all that it can stand for is one person
     initial = rewritten.filter("way = 'initial'").select("form", "entity").distinct().join(people, "entity")
-    full = initial.filter("kind = 'person'").groupBy("form").agg(F.min("person").alias("person"), F.count_distinct("person").alias("k")).filter("k = 1")
+    full = initial.filter("kind = 'person'").groupBy("form").agg(F.min("person").alias("person"), F.count_distinct("person").alias("k"))
+    full = rare(full)
     by_initial = initial.filter("kind = 'initial'").select("form", "entity").join(full, "form").select("entity", F.col("person").alias("meant"))
     # a misspelt family name with an initial: just one person within one edit, and nobody of that very name
     slips = rewritten.filter("way = 'slip'").select("form", "entity", "token")
@@ -272,7 +282,7 @@ def people(df: DataFrame, column: str = "name") -> DataFrame:
     alone = slips.join(lonely, "entity", "left_semi").select("form", "entity", F.col("token").alias("written"))
     close = alone.join(slips.select("form", "token", F.col("entity").alias("of")), "form").filter(one_edit(F.col("written"), F.col("token")))
     close = close.select("entity", "of").distinct().join(people.filter("kind = 'person'").select(F.col("entity").alias("of"), "person"), "of")
-    close = close.groupBy("entity").agg(F.min("person").alias("meant"), F.count_distinct("person").alias("k")).filter("k = 1").select("entity", "meant")
+    close = rare(close.groupBy("entity").agg(F.min("person").alias("meant"), F.count_distinct("person").alias("k"))).select("entity", "meant")
     people = people.join(by_initial.unionByName(close).groupBy("entity").agg(F.min("meant").alias("meant")), "entity", "left")
     people = people.select("entity", F.coalesce("meant", "person").alias("person"))
 

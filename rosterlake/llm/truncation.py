@@ -15,7 +15,9 @@ word that is masked everywhere, a piece is known by the frequent words that
 begin with it.
 
 Counts cover all values. Contexts that end no value can't be asked for and are
-sifted out by a Bloom filter of fixed size before anything is shuffled.
+sifted out before anything is shuffled, by a Bloom filter whose size follows
+from the number of contexts asked for, up to a fixed most; a full one sifts
+less, the counts stay right.
 """
 
 from __future__ import annotations
@@ -37,10 +39,12 @@ ORDERS = (44, 32, 23, 16, 11, 7, 4)
 ENDS, GOES_ON = 2, 12
 #: What the last word being a piece of a frequent word adds to the log-odds, and the most that the length adds.
 PIECE, PILE = 12.0, 1.5
-#: Words kept as they are: those of at least this share of a column's values, at most ``VOCABULARY`` of them.
-SHARE, VOCABULARY = 1 / 2000, 4_000
-#: Bits of the Bloom filter, as a power of two.
-BLOOM = 25
+#: What a sign of a cut at the very end (an ellipsis, an opened bracket or tag) adds.
+MARK = 16.0
+#: Words kept as they are: those of at least this share of a column's values, so 1 / ``SHARE`` times the words of a value at most.
+SHARE = 1 / 2000
+#: Bits of the Bloom filter for each context asked for, and the most it has (32 MB), as a power of two.
+BITS_EACH, MOST_BITS = 12, 28
 #: What counts as seen ends of a context that ended no other value.
 PRIOR = 0.05
 #: The threshold is sought in this range of log-odds; a column and language with few values gets ``USUAL``.
@@ -141,15 +145,15 @@ def _salt(column: str, lang: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{column}|{lang}|{size}")
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = hashes.view(np.uint64)
-    top = np.uint64(64 - BLOOM)
+    top = np.uint64(64 - bits)
     with np.errstate(over="ignore"):
         return (h >> top).astype(np.int64), ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> top).astype(np.int64)
 
 
 def _vocabulary(values: DataFrame) -> dict[str, frozenset[str]]:
-    """The frequent words of each column; their number is bounded by 1 / SHARE times the words of a value, and by VOCABULARY."""
+    """The frequent words of each column; their number is bounded by 1 / SHARE times the words of a value."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = {}
@@ -171,7 +175,7 @@ def _vocabulary(values: DataFrame) -> dict[str, frozenset[str]]:
     out = {}
     for column, n in total.items():
         top = words.filter((F.col("field_name") == column) & (F.col("word") != "") & (F.col("n") >= max(5, n * SHARE)))
-        out[column] = frozenset(r["word"] for r in top.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect())
+        out[column] = frozenset(r["word"] for r in top.select("word").collect())
     return out
 
 
@@ -287,8 +291,9 @@ def _inside(column: str, lang: str, texts: list[str], often: np.ndarray, table:
         h = runs.hashes(size, _salt(column, lang, size), slice(None))
         inside = rest[: len(h)] > size  # the run and one character more
         h = h[inside]
-        one, two = _bits(h)
-        asked = table[one] & table[two]
+        asked = np.ones(len(h), bool)
+        for place in _bits(h, (table.size * 8).bit_length() - 1):
+            asked &= (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
         h = h[asked]
         if not len(h):
             continue
@@ -301,22 +306,22 @@ def _inside(column: str, lang: str, texts: list[str], often: np.ndarray, table:
 
 
 def _bloom(asked: DataFrame) -> np.ndarray:
-    """A filter of all asked contexts: 2 ** BLOOM entries whatever the data's size. A full one sifts less; counts stay right."""
+    """A filter of all asked contexts as bytes: two bits for each, filled where the contexts are."""
+    bits = min(MOST_BITS, max(16, (BITS_EACH * asked.count() - 1).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BLOOM, bool)
         for batch in batches:
-            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
-                table[at] = True
-        words = np.packbits(table).view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["place", "bits"])
-
-    rows = asked.select("hash").coalesce(8).mapInArrow(fill, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits"))
-    words = np.zeros((1 << BLOOM) // 64, np.int64)
+            both = np.concatenate(_bits(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            cells, at = np.unique(both >> 6, return_inverse=True)
+            words = np.zeros(len(cells), np.uint64)
+            np.bitwise_or.at(words, at, np.uint64(1) << (both & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(words.view(np.int64))], ["place", "bits"])
+
+    rows = asked.select("hash").mapInArrow(fill, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros(1 << (bits - 6), np.int64)
     got = rows.toArrow()
     words[got.column("place").to_numpy()] = got.column("bits").to_numpy()
-    return np.unpackbits(words.view(np.uint8)).astype(bool)
+    return words.view(np.uint8)
 
 
 def cut_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -336,10 +341,10 @@ def cut_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     values = long.groupBy("value_id").agg(F.first("field_name").alias("field_name"), F.first("value").alias("value"), F.count("*").alias("n"))
     scored = materialise(score(values), "scored")
     odds = scored.join(F.broadcast(_limits(scored)), ["field_name", "size"], "left")
-    odds = odds.select("value_id", "field_name", "lang", "marked", (F.col("ratio") + F.coalesce("pile", F.lit(0.0))).alias("log_odds"))
+    odds = odds.select("value_id", "field_name", "lang", "marked", (F.col("ratio") + F.coalesce("pile", F.lit(0.0)) + F.when(F.col("marked"), F.lit(MARK)).otherwise(F.lit(0.0))).alias("log_odds"))
     limit = _thresholds(odds)
     judged = odds.join(F.broadcast(limit), ["field_name", "lang"], "left")
-    cut = F.col("marked") | (F.col("log_odds") > F.coalesce("threshold", F.lit(USUAL)))
+    cut = F.col("log_odds") > F.coalesce("threshold", F.lit(USUAL))
     return long.join(judged.select("value_id", "lang", "log_odds", cut.alias("is_cut")), "value_id").select("id", "field_name", "value", "lang", "log_odds", "is_cut")
 
 
@@ -358,12 +363,12 @@ def _limits(scored: DataFrame) -> DataFrame:
     """(field_name, size, pile): how much likelier a value of that length is among those that look cut than among whole ones.
 
     Values far on either side of the threshold stand for cut and whole ones. The
-    lengths that stand out are those of field limits, few whatever the data's
-    size; at most 2,000 are kept.
+    lengths that stand out are those of field limits: each holds a five
+    hundredth of the cut values or more, so there are 500 at most.
     """
     cut, whole = F.count_if(F.col("ratio") > USUAL + 0.5), F.count_if(F.col("ratio") < LOWEST)
     sizes = scored.filter(~F.col("marked")).groupBy("field_name", "size").agg(cut.alias("cut"), whole.alias("whole"))
     total = sizes.groupBy("field_name").agg(F.sum("cut").alias("all_cut"), F.sum("whole").alias("all_whole"))
     share = ((F.col("cut") + 1) / (F.col("all_cut") + 100)) / ((F.col("whole") + 1) / (F.col("all_whole") + 100))
-    both = sizes.join(F.broadcast(total), "field_name").filter((F.col("cut") >= 5) & (share >= 2))
-    return both.orderBy(F.desc("cut")).limit(2_000).select("field_name", "size", F.least(F.lit(PILE), F.log(share)).alias("pile"))
+    both = sizes.join(F.broadcast(total), "field_name").filter((F.col("cut") >= F.greatest(F.lit(5.0), F.col("all_cut") / 500)) & (share >= 2))
+    return both.select("field_name", "size", F.least(F.lit(PILE), F.log(share)).alias("pile"))
