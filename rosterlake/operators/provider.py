@@ -45,6 +45,14 @@ def offline_rankings(records: DataFrame, group: str, place: str, body: str) -> D
     return scored.select(f"__key.{group}", "__key.handle", "score", "verdict")
 
 
+def measured(df: DataFrame, column: str, edges: tuple[float, ...], name: str) -> tuple[DataFrame, Observation]:
+    """``df`` and a histogram of a column, filled while it is written: rows up to each edge, all rows, and their sum. Nulls count in none."""
+    seen = Observation(name)
+    value = F.col(column)
+    below = [F.count_if(value <= edge).alias(f"up_to_{edge:g}") for edge in edges]
+    return df.observe(seen, *below, F.count(value).alias("n"), F.coalesce(F.sum(value.cast("double")), F.lit(0.0)).alias("total")), seen
+
+
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """``df`` and the observation that counts its rows, and those with identifiers if it says so, while it is written."""
     seen = Observation(name)

@@ -65,8 +65,8 @@ SQL = {
 SELECT DISTINCT id, node_path, regexp_extract(node_path, '^(experience\[\d+\])', 1) AS parent_path, CAST(regexp_extract(node_path, '\[(\d+)\]$', 1) AS INTEGER) AS ordinal,
 CAST(regexp_extract(node_path, '^experience\[(\d+)\]', 1) AS INTEGER) AS parent_ordinal, CASE WHEN json_type(v, '$.title') = 'VARCHAR' THEN v->>'$.title' END AS title
 FROM found WHERE regexp_full_match(node_path, 'experience\[\d+\]\.projects\[\d+\]')""",
-    "p4_fields": """WITH files AS (SELECT request_id, min(feed) AS feed, min(exported_at) AS at FROM import_requests GROUP BY request_id),
-placed AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY at, request_id) AS place, lead(request_id) OVER (PARTITION BY feed ORDER BY at, request_id) AS next FROM files),
+    "p4_fields": """WITH files AS (SELECT request_id, min(feed) AS feed, min(exported_at) AS written FROM import_requests GROUP BY request_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY written, request_id) AS place, lead(request_id) OVER (PARTITION BY feed ORDER BY written, request_id) AS next FROM files),
 bodies AS (SELECT request_id, TRY_CAST(candidates AS JSON) AS j FROM import_requests WHERE candidates IS NOT NULL GROUP BY ALL),
 arrays AS (SELECT request_id, CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE j->'$.candidates' END AS j FROM bodies),
 pending AS (SELECT request_id, CAST(e.key AS BIGINT) AS record_no, e.value AS r FROM arrays, json_each(arrays.j) AS e WHERE json_type(arrays.j) = 'ARRAY'),

@@ -37,6 +37,12 @@ def create_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({CANDIDATES}) USING parquet")
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    """Whether there is anything at a path, on whatever file system it names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def write_pool(pool: DataFrame, where: str, mode: str = "append") -> None:
     """Append to, or replace, a pool of parquet files."""
     pool.write.mode(mode).parquet(where)
