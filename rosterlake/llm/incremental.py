@@ -237,18 +237,23 @@ class HashIndex:
         both = None
         for part, mine in asked.items():
             theirs = self.keyed(part).withColumnRenamed("content", "other")
+            mine = mine.withColumnsRenamed({"content": "asked", "n_words": "n", "low": "sketch"})
             if among is not None:
                 if part not in hot:
                     continue
-                mine = mine.join(hot[part], "key", "left_semi").join(among, "content", "left_semi")
+                mine = mine.join(hot[part], "key", "left_semi").join(among.withColumnRenamed("content", "asked"), "asked", "left_semi")
+                sides = [(mine, theirs)]
             elif part in hot:
-                columns = [c for c in theirs.columns if c != "key"]
+                # two joins and no union of rows, which would lose the buckets
+                columns = [c for c in theirs.columns if c not in ("key", "other")]
                 classes = theirs.join(hot[part], "key", "left_semi").groupBy("key", F.pmod("other", F.lit(LEADERS)))
-                first = classes.agg(F.min(F.struct("other", *[c for c in columns if c != "other"])).alias("f")).select("key", "f.*").select("key", *columns)
-                theirs = theirs.join(hot[part], "key", "left_anti").unionByName(first)
-            mine = mine.select("key", F.col("content").alias("asked"), F.col("n_words").alias("n"), *([F.col("low").alias("sketch")] if part == "bands" else []))
-            met = mine.join(theirs, "key").filter(self._fits(part)).select("asked", "other", F.lit(part == "heads").alias("by_head"))
-            both = met if both is None else both.unionByName(met)
+                first = classes.agg(F.min(F.struct("other", *columns)).alias("f")).select("key", "f.*")
+                sides = [(mine.join(hot[part], "key", "left_anti"), theirs), (mine.join(hot[part], "key", "left_semi"), first)]
+            else:
+                sides = [(mine, theirs)]
+            for left, right in sides:
+                met = left.join(right, "key").filter(self._fits(part)).select("asked", "other", F.lit(part == "heads").alias("by_head"))
+                both = met if both is None else both.unionByName(met)
         return materialise(both.groupBy("asked", "other").agg(F.max("by_head").alias("by_head")), "met")
 
     def _ends(self, pairs: DataFrame, *columns: str) -> DataFrame:
