@@ -18,9 +18,9 @@ of them: its heads. So a join of heads misses no such pair, and the coverage is
 then summed over all paragraphs of both. A coverage of ``least`` proves the
 similarity; where edits are spread over the paragraphs it can't, and pairs that
 met by a head or by a band of the sketch are checked exactly, word by word.
-Bands of 7 hashes find a pair of similarity 0.7 with probability 0.85, of 0.75
-with 0.96, of 0.8 with 0.994, of 0.85 with 0.9996; the paragraphs come on top of
-that. (Of 6 hashes they would find more at 0.7, but bring together five times as
+28 bands of 7 hashes find a pair of similarity 0.7 with probability 0.91, of
+0.75 with 0.98, of 0.8 with 0.998, of 0.85 with 0.9999; the paragraphs come on
+top of that. (Of 6 hashes they would find more at 0.7, but bring together five times as
 many records that merely use the same words, and that number grows with the
 square of the data.)
 """
@@ -46,7 +46,7 @@ OFTEN = 1 / 20_000
 #: Most of 64 bits of the sketch in which two contents that meet by a band may differ; 0.998 of pairs of similarity 0.7 do in fewer.
 RADIUS = 18
 #: Bands of the sketch and hashes in each.
-BANDS, ROWS = 22, 7
+BANDS, ROWS = 28, 7
 #: A key that more contents of the index have is first tried with ``LEADERS`` of them; what those don't settle meets all the others.
 HOT, LEADERS = 512, 16
 
@@ -70,7 +70,7 @@ def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
                 if got is None:
                     continue
                 hashes, sizes, first = got.paragraphs
-                low, high, keys = neardup.sketch_of(neardup.minima(got.tokens, got.starts), BANDS, ROWS)
+                low, high, keys = neardup.sketch_of(neardup.minima(got.tokens, got.starts, BANDS * ROWS), BANDS, ROWS)
                 pieces = pa.array(np.append(first, len(hashes)), pa.int32())
                 bag = pa.array(np.append(got.starts, len(got.tokens)), pa.int32())
                 banded = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.graph import components
+from rosterlake.llm.graph import components, pairs_within
 from rosterlake.session import materialise
 
 #: Nicknames and the given names they stand for.
@@ -299,8 +299,7 @@ def groups(df: DataFrame, column: str = "name") -> DataFrame:
 def variants(df: DataFrame, column: str = "name") -> DataFrame:
     """(name_a, name_b), name_a < name_b by code point: different values that name the same person or agency, of :func:`people`."""
     named = people(df, column)
-    a, b = named.select("person", F.col("name").alias("name_a")), named.select("person", F.col("name").alias("name_b"))
-    return a.join(b, "person").filter("name_a < name_b").select("name_a", "name_b").distinct()
+    return pairs_within(named, "person", "name").select(F.col("x").alias("name_a"), F.col("y").alias("name_b")).distinct()
 
 
 def one_edit(a, b):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import words
-from rosterlake.llm.graph import components
+from rosterlake.llm.graph import components, pairs_within
 from rosterlake.session import materialise
 
 BANDS, ROWS = 26, 6
@@ -39,17 +39,20 @@ BROADCAST_ROWS = 200_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+_MORE = np.random.Generator(np.random.PCG64(7))  # further hashes, for whoever wants more than HASHES
+_MULTIPLY = np.concatenate([_MULTIPLY, (_MORE.integers(0, 1 << 32, 100, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)])
+_ADD = np.concatenate([_ADD, _MORE.integers(0, 1 << 32, 100, dtype=np.uint64).astype(np.uint32)])
 _MIX = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 _SKETCH = "id string, content bigint, n_words int, low bigint, high bigint, bands array<bigint>"
 
 
-def minima(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def minima(tokens: np.ndarray, starts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Min-wise values, one row per record: tokens of all records in a row, each record from its start."""
     folded = (tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)
-    out = np.empty((HASHES, len(starts)), dtype=np.uint32)
+    out = np.empty((hashes, len(starts)), dtype=np.uint32)
     h = np.empty_like(folded)
-    for j in range(HASHES):  # tokens are hashes already, so a linear map permutes them well enough
+    for j in range(hashes):  # tokens are hashes already, so a linear map permutes them well enough
         np.multiply(folded, _MULTIPLY[j], out=h)
         np.add(h, _ADD[j], out=h)
         out[j] = np.minimum.reduceat(h, starts)
@@ -343,8 +346,5 @@ def similar_pairs(df: DataFrame, key: str, source: str, least: float = words.SIM
     links = materialise(links, "links")
     a, b = members.select(F.col("content").alias("content_a"), F.col("id").alias("x")), members.select(F.col("content").alias("content_b"), F.col("id").alias("y"))
     across = links.join(a, "content_a").join(b, "content_b").select("x", "y")
-    several = members.groupBy("content").count().filter("count > 1").select("content")
-    copies = members.join(several, "content", "left_semi")
-    within = copies.select("content", F.col("id").alias("x")).join(copies.select("content", F.col("id").alias("y")), "content").filter("x < y").select("x", "y")
-    both = across.unionByName(within).filter("x != y")
+    both = across.unionByName(pairs_within(members, "content", "id")).filter("x != y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

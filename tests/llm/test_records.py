@@ -196,6 +196,13 @@ def test_very_long_records(spark):
     assert [tuple(r) for r in neardup.similar_pairs(df, "id", "source").collect()] == [("a", "b")]
 
 
+def test_pairs_of_hot_groups_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 7)
+    rows = [("hot", i) for i in range(40)] + [("two", 1), ("two", 2), ("one", 3), ("null", None), ("null", 4)]
+    got = [tuple(r) for r in graph.pairs_within(spark.createDataFrame(rows, "g string, i long"), "g", "i").collect()]
+    assert sorted(got) == sorted([(i, j) for i in range(40) for j in range(i + 1, 40)] + [(1, 2)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5), (None, 3)]
     got = {r.entity: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
