@@ -274,8 +274,8 @@ def consistent_table(every: DataFrame, requests: DataFrame, fields: list[str] |
     The key columns are feed, request_id and record_no. Each top-level field
     gives ``field`` (canonical text), ``field__kind`` (the alternative that the
     record holds) and one typed branch per alternative seen anywhere,
-    ``field__string``, ``field__number``, ``field__boolean``; arrays and
-    objects are JSON text. An absent field is null in every column; records
+    ``field__string``, ``field__number`` (with ``field__integer``, exact where
+    it is a whole number), ``field__boolean``; arrays and objects are JSON text. An absent field is null in every column; records
     that aren't JSON objects are left out; ``most_fields`` guards the driver.
     """
     got = file_schemas(every, requests).select("field_name", F.explode(F.map_keys("kinds")).alias("kind")).distinct()
@@ -313,4 +313,6 @@ def consistent_table(every: DataFrame, requests: DataFrame, fields: list[str] |
         columns += [text.alias(name), kind.alias(f"{name}__kind")]
         if len(seen) > 1:
             columns += [F.when(kind == k, text.try_cast(_BRANCH[k])).alias(f"{name}__{k}") for k in sorted(seen)]
+            if "number" in seen:  # whole numbers that a double would round
+                columns.append(F.when(kind == "number", text.try_cast("bigint")).alias(f"{name}__integer"))
     return flat.join(_files(requests).select("request_id", "feed"), "request_id").select("feed", "request_id", "record_no", *columns)
