@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import credentials, scrub
 from rosterlake.operators import views
-from rosterlake.plans.common import NEWEST, strip
+from rosterlake.plans.common import FLAT, NEWEST, strip
 from rosterlake.session import table
 from rosterlake.sources.pool import HEADLINE_KEYS, NAME_KEYS, NOBODY, first_text
 
@@ -144,6 +144,21 @@ def _first(keys: tuple[str, ...]) -> str:
     return f"CASE {tests} END"
 
 
+def _redacted(text: str) -> str:
+    """Credentials replaced one pattern after the other; edges that may be no part of a word are taken along and put back."""
+    edge = lambda body, no: (f"(^|[^{no}]){body}($|[^{no}])", rf"\1{credentials.TOKEN}\2")
+    word = r"\p{L}\p{N}_"
+    steps = (
+        (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", credentials.TOKEN),
+        edge(rf"eyJ[{word}-]{{8,}}\.[{word}-]{{8,}}\.[{word}-]{{8,}}", word + "."), edge(r"AIza[0-9A-Za-z_\-]{35}", word + "-"), edge(r"(?:AKIA|ASIA)[0-9A-Z]{16}", word + "-"),
+        edge(r"(?:sk|pk|rk|lf|lk|ghp|gho|xoxb|xoxp)[_-][0-9A-Za-z_\-]{16,}", word + "-"), (r"(?i)\b(?:bearer|basic|token)\s+[0-9A-Za-z._\-+/=]{12,}", credentials.TOKEN),
+        (r"(?i)\b([\w.\-]*(?:api[_-]?key|secret|password|passwd|token|credential)[\w.\-]*)[\"'']?\s*[:=]\s*[\"'']?([^\s\"'',;}]{8,})[\"'']?", rf"\1={credentials.TOKEN}"),
+    )
+    for pattern, token in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{token}', 'g')"
+    return text
+
+
 _PROMOTE = f"""WITH {NEWEST}, good AS (SELECT id, source FROM pool WHERE json_valid(source) AND json_type(source) = 'OBJECT'),
 each_ AS (SELECT good.id, e.key AS k, e.type AS t, e.value->>'$' AS v, row_number() OVER (PARTITION BY good.id, e.key ORDER BY e.id DESC) AS n FROM good, json_each(good.source) AS e),
 v AS (SELECT id, map_from_entries(list((k, CASE WHEN t = 'VARCHAR' THEN {strip('v')} ELSE '' END))) AS v FROM each_ WHERE n = 1 AND k IN {(*NAME_KEYS, *HEADLINE_KEYS)} GROUP BY id)
@@ -153,5 +168,8 @@ SQL = {
     "pii_hits": f"WITH {NEWEST}, t AS (SELECT id, source AS text FROM pool) SELECT id, " + ", ".join(f"CAST({sql} AS INTEGER) AS {kind}" for kind, sql in _COUNTS.items()) + " FROM t",
     "pii_email_records": f"WITH {NEWEST} SELECT id, coalesce(regexp_matches(source, '{_MAIL}'), false) AS holds FROM pool",
     "json_promote": _PROMOTE,
+    "json_flatten": f"WITH {NEWEST}, {FLAT} SELECT pool.id, flat FROM pool LEFT JOIN flat ON pool.id = flat.id",
+    "credential_redact": f"SELECT doc_id, {_redacted('text')} AS text FROM documents",
+    "credential_count": f"SELECT doc_id, CAST((length(r) - length(replace(r, '{credentials.TOKEN}', ''))) / {len(credentials.TOKEN)} AS INTEGER) AS n FROM (SELECT doc_id, coalesce({_redacted('text')}, '') AS r FROM documents)",
     "json_props": "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total, max(CAST(props->>'$.k' AS BIGINT)) AS largest FROM events GROUP BY event_type",
 }

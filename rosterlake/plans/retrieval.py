@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from rosterlake.functions import text
 from rosterlake.functions.scrub import flatten, json_column
 from rosterlake.operators import answer, order, retrieve, views
-from rosterlake.plans.common import NEWEST, POSTINGS, terms
+from rosterlake.plans.common import FLAT, NEWEST, POSTINGS, strip, terms
 from rosterlake.session import table
 
 QUESTION = "Who led the move of stream processing to Kafka and wrote the migration guide for the data quality team?"
+ANALYST = "security analyst with Kafka and incident response"
 NOTHING = "zzzzz quantum basketweaving"
 
 
@@ -50,7 +51,7 @@ def candidate_retrieve(spark: SparkSession, d: str) -> DataFrame:
     total = views.newest(table(spark, d, "candidates"), "name").count()  # without flattening any record
     flat = json_column(pool, "source", "flat", lambda v: flatten(v))
     docs = flat.select("id", "name", retrieve.document_text(F.col("name"), F.col("headline"), F.col("flat")).alias("body"))
-    best = retrieve.best(retrieve.scores(docs, "id", "body", _asked(spark, "security analyst with Kafka and incident response"), total=total), "id")
+    best = retrieve.best(retrieve.scores(docs, "id", "body", _asked(spark, ANALYST), total=total), "id")
     return best.join(pool.select("id", "name"), "id").select("id", "name", "score", "rank")
 
 
@@ -137,6 +138,10 @@ SQL = {
 head AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 12)
 SELECT CAST(question_id AS BIGINT) AS question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits UNION ALL
 SELECT CAST(question_id AS BIGINT), doc_id, 0.0, CAST(rank AS INTEGER) FROM head, questions WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.question_id = questions.question_id)""",
+    "candidate_retrieve": f"""WITH {NEWEST}, {FLAT},
+documents AS (SELECT pool.id AS doc_id, left({strip("coalesce(name, '') || '. ' || coalesce(headline, '') || '. ' || coalesce(name, '') || '. ' || coalesce(flat, '')")}, 20000) AS text FROM pool LEFT JOIN flat ON pool.id = flat.id),
+{POSTINGS}, {_scored(f"SELECT 1 AS question_id, '{ANALYST}' AS question")}
+SELECT best.doc_id AS id, pool.name, best.score, CAST(rank AS INTEGER) AS rank FROM best JOIN pool ON pool.id = best.doc_id WHERE rank <= 12""",
     "answer_considered": f"""WITH {POSTINGS}, {_scored(_TWO)}, hits AS (SELECT question_id, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 12),
 head AS (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS rank FROM documents QUALIFY rank <= 12),
 every AS (SELECT * FROM hits UNION ALL SELECT question_id, id, rank FROM head, questions q WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.question_id = q.question_id))
