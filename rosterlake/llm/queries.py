@@ -93,4 +93,24 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_redacted, p3_found, p3_rates, p5_found, p6_found, p6_groups, p7_found, p7_groups, p8_ids, p9_found, p10_found, p10_documents, p10_segments,
 )}
-SQL: dict[str, str] = {}
+
+# Brute force over all pairs, for small tables: words as often as they occur, words in common over words in either.
+_BAGS = r"""words AS (SELECT r, unnest(regexp_extract_all(lower(t.value->>'$'), '[\p{L}\p{N}]+')) AS w FROM records, json_tree(records.source) AS t WHERE t.type = 'VARCHAR'),
+bags AS (SELECT r, w, count(*) AS n FROM words GROUP BY ALL),
+sizes AS (SELECT r, sum(n) AS s FROM bags GROUP BY r HAVING sum(n) >= 25),
+large AS (SELECT r, w, n, s FROM bags JOIN sizes USING (r))"""
+_PAIRS = "SELECT a.r AS ra, b.r AS rb, sum(least(a.n, b.n)) AS shared, any_value(a.s + b.s) AS total FROM large a JOIN {} b ON a.w = b.w AND a.r < b.r AND least(a.s, b.s) >= 0.7 * greatest(a.s, b.s) GROUP BY a.r, b.r"
+
+SQL = {
+    "p5_found": rf"""WITH bodies AS (SELECT request_id, min(received_at) AS arrived, arg_min(candidates, received_at) AS body FROM import_requests WHERE status = 'pending' AND candidates IS NOT NULL GROUP BY request_id),
+arrays AS (SELECT request_id, arrived, CASE WHEN json_type(body) = 'ARRAY' THEN CAST(body AS JSON) ELSE CAST(body AS JSON)->'$.candidates' END AS j FROM bodies WHERE json_valid(body)),
+pending AS (SELECT request_id, arrived, CAST(e.key AS INTEGER) AS record_no, e.value AS source FROM arrays, json_each(arrays.j) AS e WHERE json_type(arrays.j) = 'ARRAY' AND e.type = 'OBJECT'),
+stored AS (SELECT DISTINCT source FROM candidates WHERE id IS NOT NULL AND json_valid(source) AND json_type(source) = 'OBJECT'),
+records AS (SELECT row_number() OVER (ORDER BY request_id IS NOT NULL, arrived, record_no, request_id) AS r, * FROM
+  (SELECT CAST(source AS JSON) AS source, NULL::BIGINT AS request_id, NULL::TIMESTAMP AS arrived, NULL::INTEGER AS record_no FROM stored UNION ALL SELECT source, request_id, arrived, record_no FROM pending)),
+{_BAGS}, asked AS (SELECT large.* FROM large JOIN records USING (r) WHERE request_id IS NOT NULL), pairs AS ({_PAIRS.format("asked")})
+SELECT DISTINCT request_id, record_no FROM pairs JOIN records ON r = rb WHERE shared >= 0.7 * (total - shared)""",
+    "p7_found": rf"""WITH good AS (SELECT DISTINCT id, source FROM candidates WHERE id IS NOT NULL AND json_valid(source) AND json_type(source) = 'OBJECT'),
+records AS (SELECT row_number() OVER () AS r, id, source FROM good), {_BAGS}, pairs AS ({_PAIRS.format("large")})
+SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM pairs JOIN records x ON x.r = ra JOIN records y ON y.r = rb WHERE x.id <> y.id AND shared >= 0.7 * (total - shared)""",
+}
