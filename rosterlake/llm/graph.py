@@ -36,15 +36,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 PART = 5_000
 
 
-def pairs_within(members: DataFrame, group: str, item: str) -> DataFrame:
+def pairs_within(members: DataFrame, group: str, item: str, some: DataFrame | None = None) -> DataFrame:
     """(x, y), x < y: every two different items of a group. Null items pair with nothing; repeated rows give repeated pairs.
 
+    Given ``some`` of the members, x is one of these and y any other of its group, greater or not.
+
     The output is all pairs by its meaning, for callers whose columns are fixed
     so. One side of a large group is split by hash and the other one sent to
     each part, so no task gets a hot group whole.
     """
     sizes = members.groupBy(group).agg(F.count("*").alias("n")).filter("n > 1").select(group, F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     several = members.select(group, item).join(sizes, group)
-    left = several.select(group, F.pmod(F.xxhash64(item), "parts").cast("int").alias("part"), F.col(item).alias("x"))
+    left = several if some is None else some.select(group, item).join(sizes, group)
+    left = left.select(group, F.pmod(F.xxhash64(item), "parts").cast("int").alias("part"), F.col(item).alias("x"))
     right = several.select(group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(item).alias("y"))
-    return left.join(right, [group, "part"]).filter("x < y").select("x", "y")
+    return left.join(right, [group, "part"]).filter("x < y" if some is None else "x != y").select("x", "y")

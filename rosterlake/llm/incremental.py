@@ -45,6 +45,8 @@ from rosterlake.session import _delete, materialise, shared_dir
 OFTEN = 1 / 20_000
 #: Most of 64 bits of the sketch in which two contents that meet by a band may differ; 0.998 of pairs of similarity 0.7 do in fewer.
 RADIUS = 18
+#: Most of all 128 bits in which they may.
+RADIUS_WHOLE = 33
 #: Bands of the sketch and hashes in each.
 BANDS, ROWS = 28, 7
 #: A key that more contents of the index have is first tried with ``LEADERS`` of them; what those don't settle meets all the others.
@@ -274,7 +276,7 @@ class HashIndex:
 
         apart = joined(met, "low", "high")
         apart = apart.withColumn("bits", F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))))
-        near = materialise(apart.filter(F.col("by_head") | (F.col("bits") <= neardup.RADIUS)).select("asked", "other"), "near")
+        near = materialise(apart.filter(F.col("by_head") | (F.col("bits") <= RADIUS_WHOLE)).select("asked", "other"), "near")
         pairs = joined(near, "n_words", "hashes", "sizes", "tokens")
         shared = F.array_intersect("hashes_a", "hashes_b")
         covered = F.aggregate(

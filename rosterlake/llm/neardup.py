@@ -1,18 +1,19 @@
-"""Near-duplicate records with small edits, by bit-sliced comparison.
+"""Near-duplicate records with small edits, by sketches of two bits a hash.
 
-Each record's bag of words gets a sketch of one bit for each of ``SLICES``
+Each record's bag of words gets a sketch of two bits for each of ``SLICES``
 min-wise hashes; at similarity s two sketches differ in a share (1 - s) / 2 of
-the bits. Records with one content form a class and only its representative is
+the first bits, and in a share 3 (1 - s) / 4 of the hashes in one bit or the
+other. Records with one content form a class and only its representative is
 compared. Representatives that agree in all rows of a band of min-wise values
-meet in a block. There the sketches stand vertically, one bit plane per hash
-and one lane per record, so one XOR compares 64 pairs; their distances are kept
-in carry-save counters, again vertical, and words of lanes are abandoned as
-soon as every pair in them exceeds the radius. The pairs left are checked
-exactly.
-
-With 40 bands of 6 rows a pair of similarity 0.7 meets with probability 0.993,
-of 0.75 with 0.9996, of 0.8 with 0.99999; the radius of 33 of 128 bits keeps
-0.9995 of pairs at similarity 0.7 and more than 0.9999 at 0.75.
+meet in a block. There the first bits of all pairs are compared with whole
+words, 64 hashes at a time and a square of pairs at once, and the second bits
+of those pairs that are left; so the pairs that merely use the same words, whose
+number grows with the square of the data, cost a few nanoseconds each and
+never leave their task. The pairs left are checked exactly.
+
+With 30 bands of 5 rows a pair of similarity 0.7 meets with probability 0.996,
+of 0.75 with 0.9997, of 0.8 with 0.99999; the radii of 36 of 128 first bits and
+46 of 128 hashes keep 0.9998 of pairs at similarity 0.7 together.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ from rosterlake.llm import words
 from rosterlake.llm.graph import components, pairs_within
 from rosterlake.session import materialise
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
 HASHES, SLICES = BANDS * ROWS, 128
-RADIUS = 33
+#: Most first bits, and most hashes by both bits, in which two sketches may differ.
+RADIUS, RADIUS_BOTH = 36, 46
+#: Blocks of more rows than this are compared in squares of about so many pairs.
+SMALL, SQUARE = 64, 1 << 16
 #: A block of more lanes than this is cut up and compared piece by piece, in tasks of their own.
 BLOCK = 16_384
 #: Most rows of a table that is broadcast; its size is counted first.
@@ -41,7 +45,7 @@ _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _MIX = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
-_SKETCH = "id string, content bigint, n_words int, low bigint, high bigint, bands array<bigint>"
+_SKETCH = "id string, content bigint, n_words int, low bigint, high bigint, low2 bigint, high2 bigint, bands array<bigint>"
 
 
 def minima(tokens: np.ndarray, starts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
@@ -56,12 +60,21 @@ def minima(tokens: np.ndarray, starts: np.ndarray, hashes: int = HASHES) -> np.n
     return np.ascontiguousarray(out.T)
 
 
-def sketch_of(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(low half of the bits, high half, band keys) of each record."""
-    bits = ((least[:, :SLICES] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64)
+def _bits(least: np.ndarray, multiply: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bit of each of the first ``SLICES`` hashes: (low half, high half)."""
+    bits = ((least[:, :SLICES] * np.uint32(multiply)) >> np.uint32(31)).astype(np.uint64)
     weights = np.uint64(1) << np.arange(SLICES // 2, dtype=np.uint64)
-    low = (bits[:, : SLICES // 2] * weights).sum(axis=1, dtype=np.uint64)
-    high = (bits[:, SLICES // 2 :] * weights).sum(axis=1, dtype=np.uint64)
+    return (bits[:, : SLICES // 2] * weights).sum(axis=1, dtype=np.uint64).view(np.int64), (bits[:, SLICES // 2 :] * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def second_bits(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low half, high half) of the second bits of each record."""
+    return _bits(least, 0x85EBCA6B)
+
+
+def sketch_of(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low half of the first bits, high half, band keys) of each record."""
+    low, high = _bits(least, 0x9E3779B1)
     with np.errstate(over="ignore"):
         shaped = least[:, : bands * rows].astype(np.uint64).reshape(len(least), bands, rows)
         keys = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -69,11 +82,11 @@ def sketch_of(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[
         for r in range(rows):
             keys ^= (shaped[:, :, r] + np.uint64(r + 1)) * _MIX[r]
             keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return low.view(np.int64), high.view(np.int64), keys.view(np.int64)
+    return low, high, keys.view(np.int64)
 
 
 def sketches(df: DataFrame, key: str, source: str) -> DataFrame:
-    """(id, content, n_words, low, high, bands) of each record that has words enough.
+    """(id, content, n_words, low, high, low2, high2, bands) of each record that has words enough.
 
     Sources that are null, aren't JSON objects or hold under 25 words give no
     row. ``content`` is a hash of the bag of words, equal for full copies.
@@ -85,127 +98,86 @@ def sketches(df: DataFrame, key: str, source: str) -> DataFrame:
                 got = words.bags(records)
                 if got is None:
                     continue
-                low, high, keys = sketch_of(minima(got.tokens, got.starts))
+                least = minima(got.tokens, got.starts)
+                (low, high, keys), (low2, high2) = sketch_of(least), second_bits(least)
                 offsets = pa.array(np.arange(0, len(got.rows) * BANDS + 1, BANDS), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(got.rows + at)), pa.array(got.contents), pa.array(got.sizes.astype(np.int32)),
-                        pa.array(low), pa.array(high), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
+                        pa.array(low), pa.array(high), pa.array(low2), pa.array(high2), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
                     ],
-                    ["id", "content", "n_words", "low", "high", "bands"],
+                    ["id", "content", "n_words", "low", "high", "low2", "high2", "bands"],
                 )
 
     held = df.filter(F.col(key).isNotNull())
     return held.select(F.col(key).cast("string").alias("id"), F.col(source).alias("s")).mapInArrow(sketch, _SKETCH)
 
 
-def _planes(low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-    """Bit planes: plane j holds bit j of every lane, 64 lanes to a word."""
-    n = -(-len(low) // 64) * 64
-    out = []
-    for half in (low.view(np.uint64), high.view(np.uint64)):
-        half = np.concatenate([half, np.zeros(n - len(half), np.uint64)])
-        for j in range(SLICES // 2):
-            bit = ((half >> np.uint64(j)) & np.uint64(1)).astype(np.uint8)
-            out.append(np.packbits(bit, bitorder="little").view(np.uint64))
-    return out
-
-
-def _packed(mask: np.ndarray) -> np.ndarray:
-    n = -(-len(mask) // 64) * 64
-    return np.packbits(np.concatenate([mask, np.zeros(n - len(mask), bool)]), bitorder="little").view(np.uint64)
-
-
-def _within(left: list[np.ndarray], right: list[np.ndarray], alive: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of ``alive`` whose distance is at most the radius.
-
-    Distances are bit-sliced counters. Starting them at 127 - radius makes
-    "exceeds the radius" the same as "bit 7 is set". After every eighth of the
-    planes, words of lanes without a pair within the radius are dropped.
-    """
-    at = np.flatnonzero(alive)
-    result = np.zeros_like(alive)
-    if not len(at):
-        return result
-    ok = alive[at]
-    full, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
-    counter = [np.full(len(at), full if (127 - radius) >> b & 1 else none) for b in range(7)]
-    over = np.zeros(len(at), np.uint64)
-    step = SLICES // 8
-    for first in range(0, SLICES, step):
-        planes = [left[j][at] ^ right[j][at] for j in range(first, first + step)]
-        level, b = planes, 0
-        while level:
-            carries = []
-            while len(level) >= 3:  # carry-save: three planes of one weight become a sum and a carry
-                x, y, z = level.pop(), level.pop(), level.pop()
-                u = x ^ y
-                level.append(u ^ z)
-                carries.append((x & y) | (u & z))
-            for x in level:
-                if b < 7:
-                    carries.append(counter[b] & x)
-                    counter[b] = counter[b] ^ x
-                else:
-                    over |= x
-            level, b = carries, b + 1
-            if b == 7:
-                for x in level:
-                    over |= x
-                break
-        ok = ok & ~over
-        keep = ok != 0
-        if not keep.any():
-            return result
-        if keep.sum() < 0.7 * len(at):
-            at, ok, over = at[keep], ok[keep], over[keep]
-            counter = [c[keep] for c in counter]
-    result[at] = ok
-    return result
+def _near(keys: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of rows with one key within the radius, some at a time. ``keys`` must be sorted."""
+    low, high = low.view(np.uint64), high.view(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], int)
+    size = np.diff(np.append(first, len(keys)))
+    # small blocks all together: row i with row i + d for d = 1, 2, ... until no block reaches so far
+    stop = np.repeat(first + size, size)
+    live = np.flatnonzero(np.repeat(size <= SMALL, size))
+    d = 1
+    while len(live := live[live + d < stop[live]]):
+        distance = np.bitwise_count(low[live] ^ low[live + d])
+        distance += np.bitwise_count(high[live] ^ high[live + d])
+        hit = live[distance <= radius]
+        yield hit, hit + d
+        d += 1
+    for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        stop_at = at + n
+        while at < stop_at:
+            end = min(stop_at, at + max(1, SQUARE // (stop_at - at)))
+            distance = np.bitwise_count(low[at:end, None] ^ low[None, at:stop_at])
+            distance += np.bitwise_count(high[at:end, None] ^ high[None, at:stop_at])
+            i, j = np.nonzero(distance <= radius)
+            later = i < j
+            yield i[later] + at, j[later] + at
+            at = end
 
 
 def block_pairs(keys: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows with one key within the radius. ``keys`` must be sorted.
-
-    Row i is compared with row i + d for d = 1, 2, ... until no key reaches so far.
-    """
-    n = len(keys)
-    first, second = [], []
-    live = np.arange(n)  # rows that may still have a partner d places on
-    left_rows = low, high
-    d = 1
-    while True:
-        live = live[live + d < n]
-        live = live[keys[live] == keys[live + d]]
-        if not len(live):
-            break
-        for at in range(0, len(live), 1 << 18):
-            lanes = live[at : at + (1 << 18)]
-            left = _planes(left_rows[0][lanes], left_rows[1][lanes])
-            right = _planes(left_rows[0][lanes + d], left_rows[1][lanes + d])
-            hit = _within(left, right, _packed(np.ones(len(lanes), bool)), radius)
-            found = lanes[np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")[: len(lanes)])]
-            first.append(found)
-            second.append(found + d)
-        d += 1
-    none = np.array([], int)
-    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
+    """Pairs (i, j), i < j, of rows with one key whose first bits are within the radius. ``keys`` must be sorted."""
+    found = [(np.array([], int), np.array([], int)), *_near(keys, low, high, radius)]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, part) in; near pairs of rids out. Whole keys are compared, a bounded buffer at a time."""
+    """Rows sorted by key in, (key, rid, cross, low, high) and low2, high2 if there; near pairs of rids out.
+
+    Whole keys are compared, a bounded buffer at a time.
+    """
     kept: list[pa.RecordBatch] = []
     rows = 0
 
-    def run(table: pa.Table) -> pa.RecordBatch:
-        key, rid, low, high, cross = (table.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((cross, key))
-        key, rid, low, high, cross = key[order], rid[order], low[order], high[order], cross[order]
-        i, j = block_pairs(key, low, high)
-        right = (rid[i] != rid[j]) & ((cross[i] == 0) | (cross[i] != cross[j]))
-        a, b = rid[i][right], rid[j][right]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, rid, cross, low, high, *more = (table.column(i).to_numpy() for i in range(table.num_columns))
+        low2, high2 = (x.view(np.uint64) for x in more) if more else (None, None)
+        first, second = low.view(np.uint64), high.view(np.uint64)
+        held, n = [], 0
+        for i, j in _near(key, low, high, RADIUS):
+            if more and len(i):
+                distance = np.bitwise_count((first[i] ^ first[j]) | (low2[i] ^ low2[j]))
+                distance += np.bitwise_count((second[i] ^ second[j]) | (high2[i] ^ high2[j]))
+                i, j = i[distance <= RADIUS_BOTH], j[distance <= RADIUS_BOTH]
+            if not len(i):
+                continue
+            right = (rid[i] != rid[j]) & ((cross[i] == 0) | (cross[i] != cross[j]))
+            a, b = rid[i][right], rid[j][right]
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+            n += len(a)
+            if n >= 1 << 16:
+                yield batch_of(held)
+                held, n = [], 0
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in held])) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
         kept.append(batch)
@@ -215,11 +187,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = table.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield run(table.slice(0, cut))
+                yield from run(table.slice(0, cut))
             kept = table.slice(cut).combine_chunks().to_batches()
             rows = len(key) - cut
     if rows:
-        yield run(pa.Table.from_batches(kept).combine_chunks())
+        yield from run(pa.Table.from_batches(kept).combine_chunks())
 
 
 def _large_blocks(keys: DataFrame) -> DataFrame:
@@ -239,27 +211,28 @@ def _large_blocks(keys: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b) of near sketches, from (rid, low, high, bands).
+    """(a, b) of near sketches, from (rid, low, high, bands); with columns low2 and high2 the second bits count too.
 
     A key's rows go to one task while there are at most ``BLOCK`` of them.
     Larger blocks are cut by hash into parts, and every two parts are compared
     in a task of their own: nothing is left out and no task gets them all.
     """
-    banded = reps.select("rid", "low", "high", F.explode("bands").alias("key"))
+    sketch = [c for c in ("low", "high", "low2", "high2") if c in reps.columns]
+    banded = reps.select("rid", *sketch, F.explode("bands").alias("key"))
     large = materialise(_large_blocks(reps.select(F.explode("bands").alias("key"))), "blocks")
     if large.isEmpty():
         plain = banded
-        rows = plain.select("key", "rid", "low", "high", F.lit(0).alias("cross"))
+        rows = plain.select("key", "rid", F.lit(0).alias("cross"), *sketch)
     else:
         few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         joined = banded.join(F.broadcast(large) if few else large, "key", "left")
-        plain = joined.filter("parts is null").select("key", "rid", "low", "high", F.lit(0).alias("cross"))
+        plain = joined.filter("parts is null").select("key", "rid", F.lit(0).alias("cross"), *sketch)
         part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
         cut = joined.filter("parts is not null").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         meet = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
         # within a part every two rows are compared (0); across two parts only rows of different parts (1 and 2)
         cross = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-        rows = plain.unionByName(cut.select(meet.alias("key"), "rid", "low", "high", cross.alias("cross")))
+        rows = plain.unionByName(cut.select(meet.alias("key"), "rid", cross.alias("cross"), *sketch))
     placed = rows.repartition("key").sortWithinPartitions("key")
     return placed.mapInArrow(_compare, "a bigint, b bigint").distinct()
 
@@ -294,8 +267,8 @@ def similar_classes(df: DataFrame, key: str, source: str, least: float = words.S
     """
     sketched = materialise(sketches(df, key, source), "sketches")
     members = sketched.select("content", "id").distinct()
-    reps = sketched.groupBy(F.col("content").alias("rid")).agg(F.min(F.struct("id", "low", "high", "bands")).alias("r"))
-    reps = reps.select("rid", "r.low", "r.high", "r.bands", "r.id")
+    reps = sketched.groupBy(F.col("content").alias("rid")).agg(F.min(F.struct("id", "low", "high", "low2", "high2", "bands")).alias("r"))
+    reps = materialise(reps.select("rid", "r.low", "r.high", "r.low2", "r.high2", "r.bands", "r.id"), "reps")
     near = materialise(candidate_pairs(reps), "near")
     ends = near.select(F.col("a").alias("content")).union(near.select(F.col("b").alias("content"))).distinct()
     wanted = materialise(reps.select(F.col("rid").alias("content"), "id").join(ends, "content"), "ends")
@@ -341,7 +314,18 @@ def similar_pairs(df: DataFrame, key: str, source: str, least: float = words.SIM
     """
     members, links = similar_classes(df, key, source, least)
     links = materialise(links, "links")
-    a, b = members.select(F.col("content").alias("content_a"), F.col("id").alias("x")), members.select(F.col("content").alias("content_b"), F.col("id").alias("y"))
-    across = links.join(a, "content_a").join(b, "content_b").select("x", "y")
-    both = across.unionByName(pairs_within(members, "content", "id")).filter("x != y")
-    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    held = members.groupBy("id").agg(F.collect_set("content").alias("held"))
+    members = materialise(held.select("id", F.explode("held").alias("content"), (F.size("held") > 1).alias("several")), "members")
+    # two ids with one record each meet once; only pairs with an id of several records can come again
+    one, several = members.filter(~F.col("several")), members.filter("several")
+
+    def across(left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = (side.select(F.col("content").alias(c), F.col("id").alias(x)) for side, c, x in ((left, "content_a", "x"), (right, "content_b", "y")))
+        return links.join(a, "content_a").join(b, "content_b").select("x", "y")
+
+    ordered = F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")
+    pairs = across(one, one).unionByName(pairs_within(one, "content", "id")).select(*ordered)
+    if several.isEmpty():
+        return pairs
+    again = across(several, members).unionByName(across(one, several)).unionByName(pairs_within(members, "content", "id", several))
+    return pairs.unionByName(again.filter("x != y").select(*ordered).distinct())

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -94,6 +95,38 @@ def test_bit_sliced_distances_are_hamming_distances():
     assert got == want
 
 
+def test_a_crowded_block_is_compared_fast():
+    rng = np.random.default_rng(5)
+    n = 8_000
+    low, high = rng.integers(-(2**63), 2**63 - 1, n), rng.integers(-(2**63), 2**63 - 1, n)
+    low[7], high[7] = low[7_000], high[7_000] ^ 1
+    keys = np.zeros(n, np.int64)
+    neardup.block_pairs(keys[:100], low[:100], high[:100])
+    began = time.process_time()
+    a, b = neardup.block_pairs(keys, low, high, radius=20)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(7, 7_000)]
+    assert time.process_time() - began < 4  # 32 million pairs
+
+
+def test_records_that_merely_use_the_same_words_are_left_out_before_the_exact_check(spark):
+    rng = np.random.default_rng(6)
+    common, rows = [f"w{i}" for i in range(60)], []
+    for i in range(300):  # half of each record's words are those of all others
+        rows.append((f"r{i:03}", json.dumps({"a": " ".join(common + [f"x{x}" for x in rng.integers(0, 10**9, 60)])})))
+    rows.append(("twin", rows[0][1].replace("w3 ", "")))
+    frame = spark.createDataFrame(rows, "id string, source string")
+    sketched = neardup.sketches(frame, "id", "source").withColumnRenamed("content", "rid")
+    assert neardup.candidate_pairs(sketched.select("rid", *[c for c in sketched.columns if c[:3] in ("low", "hig", "ban")])).count() <= 40  # of 44,850
+    assert [tuple(r) for r in neardup.similar_pairs(frame, "id", "source").collect()] == [("r000", "twin")]
+
+
+def test_ids_with_several_records_pair_once(spark, records):
+    several = [(i, r) for i, r in records[:60]] + [(records[k % 7][0], records[k][1]) for k in range(7, 40)] + [("new", records[3][1]), ("new", records[4][1])]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in several], "id string, source string")
+    got = [(r.id_a, r.id_b) for r in neardup.similar_pairs(frame, "id", "source").collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(several)
+
+
 def test_no_rows(spark, records):
     empty = _frame(spark, records).limit(0)
     assert neardup.similar_pairs(empty, "id", "source").count() == 0
