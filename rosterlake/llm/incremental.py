@@ -7,7 +7,9 @@ or hashed again, for all that a check needs is in the tables:
 - ``contents``: a row per record with the hash of its bag of words, its sketch,
   its paragraph hashes with the words of each, and a hash for every word;
 - ``heads``, bucketed by paragraph hash: the paragraphs that a content is found by;
-- ``bands``, bucketed by key: the bands of its min-wise sketch.
+- ``bands``, bucketed by key: the bands of its min-wise values, each with the whole
+  sketch, so that contents which merely use the same words are told apart inside
+  the bucket and only pairs worth reading are written or moved.
 
 A full copy agrees in the content hash. For the rest each content's paragraphs
 are put in one order, the same for all contents: paragraphs that many contents
@@ -18,11 +20,9 @@ of them: its heads. So a join of heads misses no such pair, and the coverage is
 then summed over all paragraphs of both. A coverage of ``least`` proves the
 similarity; where edits are spread over the paragraphs it can't, and pairs that
 met by a head or by a band of the sketch are checked exactly, word by word.
-28 bands of 7 hashes find a pair of similarity 0.7 with probability 0.91, of
-0.75 with 0.98, of 0.8 with 0.998, of 0.85 with 0.9999; the paragraphs come on
-top of that. (Of 6 hashes they would find more at 0.7, but bring together five times as
-many records that merely use the same words, and that number grows with the
-square of the data.)
+17 bands of 5 hashes find a pair of similarity 0.7 with probability 0.956, of
+0.75 with 0.99, of 0.8 with 0.999, of 0.85 with 0.9999; the paragraphs come on
+top of that.
 """
 
 from __future__ import annotations
@@ -43,26 +43,23 @@ from rosterlake.session import _delete, materialise, shared_dir
 
 #: A paragraph that more than this share of the contents have as a head is put last; so many there can be at most, however large the history.
 OFTEN = 1 / 20_000
-#: Most of 64 bits of the sketch in which two contents that meet by a band may differ; 0.998 of pairs of similarity 0.7 do in fewer.
-RADIUS = 18
-#: Most of all 128 bits in which they may.
-RADIUS_WHOLE = 33
-#: Bands of the sketch and hashes in each.
-BANDS, ROWS = 28, 7
+#: Bands of the min-wise values and hashes in each.
+BANDS, ROWS = 17, 5
 #: A key that more contents of the index have is first tried with ``LEADERS`` of them; what those don't settle meets all the others.
 HOT, LEADERS = 512, 16
 
-_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, low bigint, high bigint, bands array<bigint>, place string"
-_BUCKETED = {"heads": "key bigint, content bigint, n_words int", "bands": "key bigint, content bigint, n_words int, low bigint"}
+_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, low bigint, high bigint, low2 bigint, high2 bigint, bands array<int>, place string"
+_BUCKETED = {"heads": "key bigint, content bigint, n_words int", "bands": "key int, content bigint, n_words int, low bigint, high bigint, low2 bigint, high2 bigint"}
+_SKETCH = ["low", "high", "low2", "high2"]
 _NAMES = [x.split()[0] for x in _HASHED.split(", ")]
 
 
 def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
-    """(content, n_words, hashes, sizes, tokens, low, high, bands, place) of each record with words enough; place says where to find it.
+    """(content, n_words, hashes, sizes, tokens, low, high, low2, high2, bands, place) of each record with words enough; place says where to find it.
 
     ``hashes`` are its distinct paragraphs and ``sizes`` the words of each,
-    ``tokens`` a hash of every word, ``low``, ``high`` and ``bands`` its sketch. A text
-    that is null, isn't a JSON object or holds under 25 words gives no row.
+    ``tokens`` a hash of every word, ``low`` to ``high2`` its sketch, ``bands`` 32 bits of
+    each band's key (two that agree by chance are told apart by their sketches). A text that is null, isn't a JSON object or holds under 25 words gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +69,8 @@ def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
                 if got is None:
                     continue
                 hashes, sizes, first = got.paragraphs
-                low, high, keys = neardup.sketch_of(neardup.minima(got.tokens, got.starts, BANDS * ROWS), BANDS, ROWS)
+                minima = neardup.minima(got.tokens, got.starts, max(neardup.SLICES, BANDS * ROWS))
+                (low, high, keys), (low2, high2) = neardup.sketch_of(minima, BANDS, ROWS), neardup.second_bits(minima)
                 pieces = pa.array(np.append(first, len(hashes)), pa.int32())
                 bag = pa.array(np.append(got.starts, len(got.tokens)), pa.int32())
                 banded = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
@@ -81,7 +79,7 @@ def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
                     [
                         pa.array(got.contents), pa.array(got.sizes.astype(np.int32)), pa.ListArray.from_arrays(pieces, pa.array(hashes)),
                         pa.ListArray.from_arrays(pieces, pa.array(sizes)), pa.ListArray.from_arrays(bag, pa.array(folded)), pa.array(low), pa.array(high),
-                        pa.ListArray.from_arrays(banded, pa.array(keys.reshape(-1))), batch.column(1).take(pa.array(got.rows + at)),
+                        pa.array(low2), pa.array(high2), pa.ListArray.from_arrays(banded, pa.array((keys.reshape(-1) >> 32).astype(np.int32))), batch.column(1).take(pa.array(got.rows + at)),
                     ],
                     _NAMES,
                 )
@@ -174,12 +172,12 @@ class HashIndex:
         several = materialise(new.groupBy("content").count().filter("count > 1").select("content"), "several")
         few = several.limit(neardup.BROADCAST_ROWS + 1).count() <= neardup.BROADCAST_ROWS
         repeated = F.broadcast(several) if few else several
-        parts = new.select("content", "n_words", "hashes", "sizes", "low", "bands")
+        parts = new.select("content", "n_words", "hashes", "sizes", *_SKETCH, "bands")
         once = parts.join(repeated, "content", "left_anti").unionByName(parts.join(repeated, "content", "left_semi").dropDuplicates(["content"]))
         if not self.filled:
             self._start(once)
         self._write(heads(once, self.often, self.least), "heads")
-        self._write(once.select(F.explode("bands").alias("key"), "content", "n_words", "low"), "bands")
+        self._write(once.select(F.explode("bands").alias("key"), "content", "n_words", *_SKETCH), "bands")
         self.filled = True
         return rows, stored
 
@@ -202,7 +200,7 @@ class HashIndex:
         return self.spark.read.schema(_HASHED).option("recursiveFileLookup", "true").parquet(self.path + "/contents")
 
     def keyed(self, part: str) -> DataFrame:
-        """A bucketed table: ``heads`` (key, content, n_words) or ``bands`` (key, content, n_words, low)."""
+        """A bucketed table: ``heads`` (key, content, n_words) or ``bands`` (key, content, n_words and the sketch)."""
         return self.spark.table(self._named(part))
 
     def asked(self, batch: DataFrame) -> dict[str, DataFrame]:
@@ -210,13 +208,15 @@ class HashIndex:
         own = batch.dropDuplicates(["content"])
         return {
             "heads": heads(own, self.often, self.least),
-            "bands": own.select(F.explode("bands").alias("key"), "content", "n_words", "low"),
+            "bands": own.select(F.explode("bands").alias("key"), "content", "n_words", *_SKETCH),
         }
 
     def _fits(self, part: str) -> F.Column:
         size = F.least("n", "n_words") >= self.least * F.greatest("n", "n_words")
-        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("low"))) <= RADIUS if part == "bands" else F.lit(True)
-        return size & near & (F.col("asked") != F.col("other"))
+        if part == "bands":
+            low, high, low2, high2 = (F.col(c).bitwiseXOR(F.col(f"asked_{c}")) for c in _SKETCH)
+            size = size & (F.bit_count(low) + F.bit_count(high) <= neardup.RADIUS) & (F.bit_count(low.bitwiseOR(low2)) + F.bit_count(high.bitwiseOR(high2)) <= neardup.RADIUS_BOTH)
+        return size & (F.col("asked") != F.col("other"))
 
     def find_hot(self, asked: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """The keys of ``asked``, by table, that more than ``HOT`` contents of the index have; tables without any are left out."""
@@ -230,7 +230,7 @@ class HashIndex:
         return out
 
     def meeting(self, asked: dict[str, DataFrame], hot: dict[str, DataFrame], among: DataFrame | None = None) -> DataFrame:
-        """(asked, other, by_head): contents that share a head or a band and whose sizes, and sketches, allow the similarity.
+        """(asked, other): contents that share a head or a band and whose sizes, and sketches, allow the similarity.
 
         Of the contents with a hot key only some leaders are met; given
         ``among``, (content), these contents meet all that share their hot keys,
@@ -239,7 +239,7 @@ class HashIndex:
         both = None
         for part, mine in asked.items():
             theirs = self.keyed(part).withColumnRenamed("content", "other")
-            mine = mine.withColumnsRenamed({"content": "asked", "n_words": "n", "low": "sketch"})
+            mine = mine.withColumnsRenamed({"content": "asked", "n_words": "n"} | {c: f"asked_{c}" for c in _SKETCH})
             if among is not None:
                 if part not in hot:
                     continue
@@ -254,9 +254,9 @@ class HashIndex:
             else:
                 sides = [(mine, theirs)]
             for left, right in sides:
-                met = left.join(right, "key").filter(self._fits(part)).select("asked", "other", F.lit(part == "heads").alias("by_head"))
+                met = left.join(right, "key").filter(self._fits(part)).select("asked", "other")
                 both = met if both is None else both.unionByName(met)
-        return materialise(both.groupBy("asked", "other").agg(F.max("by_head").alias("by_head")), "met")
+        return materialise(both.distinct(), "met")
 
     def _ends(self, pairs: DataFrame, *columns: str) -> DataFrame:
         """Columns of the contents that stand in the pairs, once each."""
@@ -274,10 +274,7 @@ class HashIndex:
                 pairs = pairs.join(held.select(F.col("content").alias(name), *[F.col(c).alias(c + mark) for c in columns]), name)
             return pairs
 
-        apart = joined(met, "low", "high")
-        apart = apart.withColumn("bits", F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))))
-        near = materialise(apart.filter(F.col("by_head") | (F.col("bits") <= RADIUS_WHOLE)).select("asked", "other"), "near")
-        pairs = joined(near, "n_words", "hashes", "sizes", "tokens")
+        pairs = joined(met, "n_words", "hashes", "sizes", "tokens")
         shared = F.array_intersect("hashes_a", "hashes_b")
         covered = F.aggregate(
             shared, F.lit(0), lambda s, h: s + F.least(F.element_at("sizes_a", F.array_position("hashes_a", h).cast("int")), F.element_at("sizes_b", F.array_position("hashes_b", h).cast("int")))

@@ -108,11 +108,15 @@ def test_a_crowded_block_is_compared_fast():
     assert time.process_time() - began < 4  # 32 million pairs
 
 
-def test_records_that_merely_use_the_same_words_are_left_out_before_the_exact_check(spark):
+def _same_words():
+    """300 records; half of each one's words are those of all others."""
     rng = np.random.default_rng(6)
-    common, rows = [f"w{i}" for i in range(60)], []
-    for i in range(300):  # half of each record's words are those of all others
-        rows.append((f"r{i:03}", json.dumps({"a": " ".join(common + [f"x{x}" for x in rng.integers(0, 10**9, 60)])})))
+    common = [f"w{i}" for i in range(60)]
+    return [(f"r{i:03}", json.dumps({"a": " ".join(common + [f"x{x}" for x in rng.integers(0, 10**9, 60)])})) for i in range(300)]
+
+
+def test_records_that_merely_use_the_same_words_are_left_out_before_the_exact_check(spark):
+    rows = _same_words()
     rows.append(("twin", rows[0][1].replace("w3 ", "")))
     frame = spark.createDataFrame(rows, "id string, source string")
     sketched = neardup.sketches(frame, "id", "source").withColumnRenamed("content", "rid")
@@ -250,3 +254,13 @@ def test_groups_and_links(spark, records):
     assert {i: n for i, (_, n) in rows.items()} == dict(links)
     assert all(rows[a][0] == rows[b][0] for a, b in pairs)
     assert neardup.similar_groups(_frame(spark, records).limit(0), "id", "source").count() == 0
+
+
+def test_records_that_merely_use_the_same_words_stay_in_their_bucket(spark):
+    rows = _same_words()
+    rows.append(("twin", rows[0][1].replace("w3 ", "")))
+    index = incremental.HashIndex(spark, buckets=3)
+    batch, _ = index.append(incremental.hashed(spark.createDataFrame(rows, "id string, source string"), "source", "id"))
+    met = index.meeting({"bands": index.asked(batch)["bands"]}, {})
+    assert 2 <= met.count() <= 60  # of 90,000
+    assert index.similar(met).count() == 2
