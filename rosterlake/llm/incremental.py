@@ -45,20 +45,22 @@ from rosterlake.session import _delete, materialise, shared_dir
 OFTEN = 1 / 20_000
 #: Bands of the min-wise values and hashes in each.
 BANDS, ROWS = 17, 5
+#: Bits on which a content's words are marked; a bit of one content only is a word of that one only, so they bound what two have in common.
+MARKS = 512
 #: A key that more contents of the index have is first tried with ``LEADERS`` of them; what those don't settle meets all the others.
 HOT, LEADERS = 512, 16
 
-_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, low bigint, high bigint, low2 bigint, high2 bigint, bands array<int>, place string"
+_HASHED = "content bigint, n_words int, hashes array<bigint>, sizes array<int>, tokens array<int>, marks array<bigint>, low bigint, high bigint, low2 bigint, high2 bigint, bands array<int>, place string"
 _BUCKETED = {"heads": "key bigint, content bigint, n_words int", "bands": "key int, content bigint, n_words int, low bigint, high bigint, low2 bigint, high2 bigint"}
 _SKETCH = ["low", "high", "low2", "high2"]
 _NAMES = [x.split()[0] for x in _HASHED.split(", ")]
 
 
 def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
-    """(content, n_words, hashes, sizes, tokens, low, high, low2, high2, bands, place) of each record with words enough; place says where to find it.
+    """(content, n_words, hashes, sizes, tokens, marks, low, high, low2, high2, bands, place) of each record with words enough; place says where to find it.
 
     ``hashes`` are its distinct paragraphs and ``sizes`` the words of each,
-    ``tokens`` a hash of every word, ``low`` to ``high2`` its sketch, ``bands`` 32 bits of
+    ``tokens`` a hash of every word, ``marks`` bits of these, ``low`` to ``high2`` its sketch, ``bands`` 32 bits of
     each band's key (two that agree by chance are told apart by their sketches). A text that is null, isn't a JSON object or holds under 25 words gives no row.
     """
 
@@ -75,10 +77,13 @@ def hashed(df: DataFrame, text: str, place: str) -> DataFrame:
                 bag = pa.array(np.append(got.starts, len(got.tokens)), pa.int32())
                 banded = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
                 folded = (got.tokens ^ (got.tokens >> np.uint64(32))).astype(np.uint32).view(np.int32)
+                marks = np.zeros((len(got.starts), MARKS), bool)
+                marks[np.repeat(np.arange(len(got.starts)), got.sizes), folded & (MARKS - 1)] = True
+                marks = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(marks, axis=1).view(np.int64).reshape(-1)), MARKS // 64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(got.contents), pa.array(got.sizes.astype(np.int32)), pa.ListArray.from_arrays(pieces, pa.array(hashes)),
-                        pa.ListArray.from_arrays(pieces, pa.array(sizes)), pa.ListArray.from_arrays(bag, pa.array(folded)), pa.array(low), pa.array(high),
+                        pa.ListArray.from_arrays(pieces, pa.array(sizes)), pa.ListArray.from_arrays(bag, pa.array(folded)), marks.cast(pa.list_(pa.int64())), pa.array(low), pa.array(high),
                         pa.array(low2), pa.array(high2), pa.ListArray.from_arrays(banded, pa.array((keys.reshape(-1) >> 32).astype(np.int32))), batch.column(1).take(pa.array(got.rows + at)),
                     ],
                     _NAMES,
@@ -274,7 +279,14 @@ class HashIndex:
                 pairs = pairs.join(held.select(F.col("content").alias(name), *[F.col(c).alias(c + mark) for c in columns]), name)
             return pairs
 
-        pairs = joined(met, "n_words", "hashes", "sizes", "tokens")
+        apart = joined(met, "n_words", "marks")
+        common = None
+        for x, y in ("_a", "_b"), ("_b", "_a"):
+            own = F.aggregate(F.zip_with(f"marks{x}", f"marks{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+            most = F.col(f"n_words{x}") - own
+            common = most if common is None else F.least(common, most)
+        enough = common * (1 + self.least) >= self.least * (F.col("n_words_a") + F.col("n_words_b")) - 1e-9
+        pairs = joined(materialise(apart.filter(enough).select("asked", "other"), "near"), "n_words", "hashes", "sizes", "tokens")
         shared = F.array_intersect("hashes_a", "hashes_b")
         covered = F.aggregate(
             shared, F.lit(0), lambda s, h: s + F.least(F.element_at("sizes_a", F.array_position("hashes_a", h).cast("int")), F.element_at("sizes_b", F.array_position("hashes_b", h).cast("int")))

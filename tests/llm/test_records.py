@@ -264,3 +264,18 @@ def test_records_that_merely_use_the_same_words_stay_in_their_bucket(spark):
     met = index.meeting({"bands": index.asked(batch)["bands"]}, {})
     assert 2 <= met.count() <= 60  # of 90,000
     assert index.similar(met).count() == 2
+
+
+def test_marks_never_hide_a_word_in_common(spark):
+    rows = _same_words()[:40]
+    rows += [(f"n{i}", r.replace(f"w{i} ", "")) for i, (_, r) in enumerate(rows[:10])]
+    held = incremental.hashed(spark.createDataFrame(rows, "id string, source string"), "source", "id").collect()
+    bits = lambda values: [v & (2**64 - 1) for v in values]
+    apart = 0
+    for a in held:
+        for b in held:
+            own = sum((x & ~y).bit_count() for x, y in zip(bits(a.marks), bits(b.marks), strict=True))
+            common = len(set(a.tokens) & set(b.tokens))
+            assert common <= a.n_words - own
+            apart += a.n_words - own < 0.7 / 1.7 * (a.n_words + b.n_words)
+    assert apart > 0.9 * len(held) ** 2 / 2  # and most pairs that only use the same words are told apart
